@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from papertide.llm.substring_dedup import remove_repeated
+
+    return remove_repeated(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from papertide.llm.bpe import encode_decode
 
@@ -20,6 +26,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_bpe": op2_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}
