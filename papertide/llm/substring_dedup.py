@@ -248,7 +248,7 @@ def _strip(id_col: str):
 def remove_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, minimiser: int = 8, hot: int = 5_000) -> DataFrame:
     """Rows (id_col, n_words, n_removed, kept_sha256, kept_text); hot: super-k-mers from which on a bucket is counted by digests."""
     key = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\0"), F.coalesce("text", F.lit("")))))
-    rows = own(df, doc_id=id_col, text=text_col).withColumn("rid", key)
+    rows = own(df, doc_id=id_col, text=text_col).withColumn("rid", key).where(F.col("rid").isNotNull())  # both joins below then share one exchange of the texts
     listed = written(rows.select("rid", "text").mapInArrow(_routes(window, minimiser), "rid binary, routes array<long>, times array<tinyint>"), "minimisers")
     each = listed.where(F.size("routes") > 0).select("rid", F.posexplode(F.arrays_zip("routes", "times")).alias("ord", "x")).select("rid", "ord", F.col("x.routes").alias("route"), F.col("x.times").alias("times"))
     shared = each.groupBy("route").agg(F.sum("times").alias("n")).where("n > 1").select("route", (F.col("n") > hot).alias("hot"))
