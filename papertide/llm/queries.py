@@ -43,9 +43,16 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_md5", "items", "spans")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from papertide.llm.license_scan import scan
+
+    return scan(table(spark, sf_dir, "documents")).drop("found")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_bpe": op2_bpe,
+    "op3_license_scan": op3_license_scan,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_decontaminate": op5_decontaminate,
     "op9_quality_rules": op9_quality_rules,
