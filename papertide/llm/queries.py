@@ -49,12 +49,20 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from papertide.llm.token_files import read_files, write_files
+
+    documents = table(spark, sf_dir, "documents")
+    return read_files(write_files(documents, public_tokenizers.path("byte_bpe_50k.json")), documents.schema["doc_id"].dataType.simpleString())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_bpe": op2_bpe,
     "op3_license_scan": op3_license_scan,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_decontaminate": op5_decontaminate,
+    "op7_token_files": op7_token_files,
     "op9_quality_rules": op9_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
