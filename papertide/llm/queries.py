@@ -56,6 +56,13 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_files(write_files(documents, public_tokenizers.path("byte_bpe_50k.json")), documents.schema["doc_id"].dataType.simpleString())
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from papertide.llm.warc import archive_pages, read_pages
+
+    pages = table(spark, sf_dir, "pages")
+    return read_pages(spark, archive_pages(pages), pages.schema["page_id"].dataType.simpleString())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_bpe": op2_bpe,
@@ -63,6 +70,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_decontaminate": op5_decontaminate,
     "op7_token_files": op7_token_files,
+    "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+        q AS (SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
+        r AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS chief FROM q)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND chief <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND chief <> page_id THEN chief END AS refers_to
+        FROM r
+    """,
+}
