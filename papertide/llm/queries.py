@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +64,14 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_pages(spark, archive_pages(pages), pages.schema["page_id"].dataType.simpleString())
 
 
+def op10_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from papertide.llm.preference import conversations_of, format_pairs, reply_pairs
+
+    found = format_pairs(reply_pairs(conversations_of(table(spark, sf_dir, "conversations"))), id_col="conv_id")
+    shown = {c: F.array_join(F.transform(c, lambda x: F.concat(x.start.cast("string"), F.lit(":"), x.stop.cast("string"))), ",") for c in ("chosen_mask", "rejected_mask")}
+    return found.withColumns(shown)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_bpe": op2_bpe,
@@ -72,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_files": op7_token_files,
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
+    "op10_preference": op10_preference,
 }
 ORACLE_SQL: dict[str, str] = {
     "op8_warc": """
@@ -83,4 +93,22 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 1000 AND chief <> page_id THEN chief END AS refers_to
         FROM r
     """,
+    "op10_preference": """
+        WITH t AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k
+            FROM conversations),
+        l AS (SELECT conv_id, max(k) FILTER (role = 'assistant') AS last FROM t GROUP BY conv_id),
+        u AS (SELECT t.*, l.last, '<|' || replace(role, '<|', '< |') || '|>' || chr(10) || replace(text, '<|', '< |') || '<|end|>' || chr(10) AS shown FROM t JOIN l USING (conv_id) WHERE k <= last),
+        c AS (
+            SELECT conv_id, max(last) AS last, coalesce(string_agg(shown, '' ORDER BY k) FILTER (k < last), '') AS before, max(shown) FILTER (k = last) AS chosen, max(text) FILTER (k = last) AS reply,
+                   coalesce(max_by(text, k) FILTER (k < last AND role = 'assistant'), min_by(text, k) FILTER (k < last AND role = 'user'), '') AS stale
+            FROM u GROUP BY conv_id),
+        d AS (SELECT *, reply = stale AS same, '<|assistant|>' || chr(10) || replace(stale, '<|', '< |') || '<|end|>' || chr(10) AS rejected FROM c)
+        SELECT conv_id, CAST(CASE WHEN same THEN last ELSE last - 1 END AS BIGINT) AS n_prompt_turns, CASE WHEN same THEN before || chosen ELSE before END AS prompt,
+               CASE WHEN same THEN '' ELSE chosen END AS chosen, CASE WHEN same THEN '' ELSE rejected END AS rejected,
+               CASE WHEN same THEN '' ELSE '14:' || CAST(length(chosen) - 1 AS VARCHAR) END AS chosen_mask,
+               CASE WHEN same THEN '' ELSE '14:' || CAST(length(rejected) - 1 AS VARCHAR) END AS rejected_mask
+        FROM d
+    """,
 }
