@@ -72,12 +72,19 @@ def op10_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns(shown)
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from papertide.llm.lm_score import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_bpe": op2_bpe,
     "op3_license_scan": op3_license_scan,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_decontaminate": op5_decontaminate,
+    "op6_lm_score": op6_lm_score,
     "op7_token_files": op7_token_files,
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
