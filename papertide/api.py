@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papertide.functions.text import clean_slide, is_blank
-from papertide.plans.sections import legacy, packages
+from papertide.plans.sections import LEGACY, PACKAGES, legacy, packages
 from papertide.sources.files import decoded, read_files
 
 
@@ -18,7 +20,9 @@ def assemble(items: DataFrame) -> DataFrame:
     """Typed rows -> (doc_id, format, text, status, error_code, error); a failed document has no text."""
     marks = F.max(F.when(F.col("kind") == "error", F.struct(F.col("a").alias("code"), F.col("b").alias("message"))))
     docs = items.where(F.col("kind").isin("part", "error", "encrypted")).groupBy("doc_id").agg(F.max("format").alias("format"), marks.alias("e"), F.max(F.col("kind") == "encrypted").alias("locked"))
-    texts = packages(items).unionByName(legacy(items))
+    formats = {r.format for r in items.where("kind = 'part'").select("format").distinct().collect()}  # six at most
+    plans = [plan(items, formats) for plan, known in ((packages, PACKAGES), (legacy, LEGACY)) if formats & {*known}]
+    texts = reduce(DataFrame.unionByName, plans) if plans else docs.where("false").select("doc_id", F.lit("").alias("text"))
     atoms = items.where("kind = 'atom'").select("doc_id", "a")
     shown = atoms.where(~is_blank(clean_slide(F.col("a")))).select("doc_id").distinct().withColumn("shown", F.lit(True))
     full = docs.join(texts, "doc_id", "left").join(shown, "doc_id", "left")

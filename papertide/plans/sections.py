@@ -161,9 +161,9 @@ def xls(items: DataFrame) -> DataFrame:
     return text.select("doc_id", F.concat("t", F.when((F.col("t") == "") | F.col("t").endswith("\n"), "").otherwise("\n")).alias("text"))
 
 
-def legacy(items: DataFrame) -> DataFrame:
-    """(doc_id, text) of compound files, macros behind the text."""
-    text = reduce(DataFrame.unionByName, [doc(items), xls(items), ppt(items)])
+def legacy(items: DataFrame, formats: set[str]) -> DataFrame:
+    """(doc_id, text) of compound files, macros behind the text; only plans of formats that occur."""
+    text = reduce(DataFrame.unionByName, [plan(items) for name, plan in LEGACY.items() if name in formats])
     macros = macro_text(items.where(F.col("format").isin("doc", "xls", "ppt")))
     both = text.join(macros, "doc_id", "full")
     t, m = F.coalesce("text", F.lit("")), F.coalesce("macros", F.lit(""))
@@ -171,9 +171,13 @@ def legacy(items: DataFrame) -> DataFrame:
     return both.select("doc_id", F.concat(t, gap, m).alias("text"))
 
 
-def packages(items: DataFrame) -> DataFrame:
+def packages(items: DataFrame, formats: set[str]) -> DataFrame:
     """(doc_id, text) of ZIP packages: sections in order; those of workbooks have a blank line between."""
-    sections = reduce(DataFrame.unionByName, [docx(items), pptx(items), xlsx(items), extras(items)])
+    sections = reduce(DataFrame.unionByName, [plan(items) for name, plan in PACKAGES.items() if name in formats] + [extras(items)])
     books = items.where("kind = 'part' and format = 'xlsx'").select("doc_id").distinct().withColumn("book", F.lit(True))
     texts = sections.groupBy("doc_id").agg(joined("text", "\n", "sec_ord", "sub_ord", "name").alias("one"), joined("text", "\n\n", "sec_ord", "sub_ord", "name").alias("two"))
     return texts.join(books, "doc_id", "left").select("doc_id", F.concat(F.when(F.col("book"), F.col("two")).otherwise(F.col("one")), F.lit("\n")).alias("text"))
+
+
+PACKAGES = {"docx": docx, "pptx": pptx, "xlsx": xlsx}
+LEGACY = {"doc": doc, "xls": xls, "ppt": ppt}
