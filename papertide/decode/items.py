@@ -20,8 +20,10 @@ An item is (format, kind, part, part_no, i, j, n, a, b).  Kinds:
 from __future__ import annotations
 
 import io
+import lzma
 import posixpath
 import re
+import struct
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -32,6 +34,8 @@ from papertide.decode.compound import CompoundFile, Damaged
 Item = tuple[str | None, str, str | None, int | None, int | None, int | None, int | None, str | None, str | None]
 MAIN = {"docx": "word/document.xml", "xlsx": "xl/workbook.xml", "pptx": "ppt/presentation.xml"}
 ZIP_MAGIC = (b"PK\x03\x04", b"PK\x05\x06", b"PK\x07\x08")
+#: What zipfile raises on damaged archives.
+_UNREADABLE = (zipfile.BadZipFile, zlib.error, lzma.LZMAError, struct.error, OSError, EOFError, RuntimeError, ValueError, IndexError)
 _DIGITS = re.compile(r"([0-9]+)(?:\.[^./]*)?$")
 
 
@@ -65,7 +69,7 @@ def _payload(package: zipfile.ZipFile, info: zipfile.ZipInfo, whole: bool = Fals
         with package.open(info) as f:
             while block := f.read(1 << 20):
                 parts.append(block)
-    except (zipfile.BadZipFile, zlib.error, OSError, EOFError, RuntimeError, NotImplementedError):
+    except _UNREADABLE:
         return b"" if whole else b"".join(parts)
     return b"".join(parts)
 
@@ -102,7 +106,7 @@ def _role(fmt: str, name: str, targets: set[str]) -> tuple[str, tuple[str, ...]]
 def _package(data: bytes) -> Iterator[Item]:
     try:
         package = zipfile.ZipFile(io.BytesIO(data))
-    except (zipfile.BadZipFile, OSError, ValueError, NotImplementedError) as e:
+    except _UNREADABLE as e:
         raise Damaged(f"not a valid ZIP/OOXML package: {e}") from None
     infos = {info.filename: info for info in package.infolist()}  # of equal names the last counts
     fmt = next((f for f, main in MAIN.items() if main in infos), None)
