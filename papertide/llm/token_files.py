@@ -23,12 +23,14 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -128,6 +130,12 @@ class TokenReader:
         return out[i - first * self.block : j - first * self.block]
 
 
+# The split pattern of byte-level tokenizers, and how they show bytes as characters (printable ones as themselves).
+_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SHOWN = {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*_PRINTED}))}
+
+
 class _Cache(dict):
     """Ids, as packed bytes, of pieces of text that the pre-tokenizer never joins with what stands beside them."""
 
@@ -153,7 +161,7 @@ class Encoder:
     #: A blank after other white space: such texts are cut more carefully.
     _UNSAFE, _SAFE = re.compile(r"\s "), re.compile(r"(?<=\S)(?= )")
 
-    def __init__(self, path: str, pieces: int = 300_000):
+    def __init__(self, path: str, pieces: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -161,11 +169,29 @@ class Encoder:
             raise ValueError("a tokenizer with a normalizer may join pieces")
         self.n_vocab = self.tokenizer.get_vocab_size()
         self.bits = max(1, (self.n_vocab - 1).bit_length())
-        self._plain, self._after_blank = _Cache(self._piece, "", pieces), _Cache(self._piece, " ", pieces)
+        pre = self.tokenizer.pre_tokenizer
+        self._model, self._pre_tokenize = self.tokenizer.model, pre.pre_tokenize_str
+        self._byte_level = type(pre).__name__ == "ByteLevel" and pre.use_regex and not pre.add_prefix_space
+        self._plain, self._after_blank, self._tokens = _Cache(self._piece, "", pieces), _Cache(self._piece, " ", pieces), _Cache(self._token, "", pieces)
 
     def _piece(self, text: str) -> bytes:
-        model = self.tokenizer.model
-        return np.array([t.id for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text) for t in model.tokenize(p)], "<u4").tobytes()
+        """The library splits what may hold letters that tables of characters disagree on; the rest is split here."""
+        if not self._byte_level or (not text.isascii() and max(text) >= "ɐ"):
+            return b"".join(self._ids(p) for p, _ in self._pre_tokenize(text))
+        word = text[1:] if text[:1] == " " else text
+        if word.isalpha():
+            return self._token(text)
+        if word[:-1].isalpha() and word[-1] in ".,;:!?":  # the commonest case, and never a contraction
+            return self._after_blank[word[:-1]] + self._tokens[word[-1]] if word is not text else self._plain[word[:-1]] + self._tokens[word[-1]]
+        return b"".join(map(self._tokens.__getitem__, _SPLIT.findall(text)))
+
+    def _token(self, text: str) -> bytes:
+        if text.isascii() and text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
+            return self._ids("Ġ" + text[1:] if text[0] == " " else text)
+        return self._ids(text.encode().decode("latin-1").translate(_SHOWN))
+
+    def _ids(self, shown: str) -> bytes:
+        return array("I", [t.id for t in self._model.tokenize(shown)]).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         if self._UNSAFE.search(text):
