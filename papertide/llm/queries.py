@@ -90,7 +90,65 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_preference": op10_preference,
 }
+_WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+        s AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS s FROM d),
+        k AS (SELECT r, s, md5(array_to_string(list_slice(w, s, s + 34), ' ')) AS k FROM s),
+        c AS (SELECT r, s, count(*) OVER (PARTITION BY k) AS n FROM k),
+        hit AS (SELECT DISTINCT r, unnest(range(s, s + 35)) AS p FROM c WHERE n > 1),
+        each AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+        kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS t FROM each ANTI JOIN hit USING (r, p) GROUP BY r),
+        n AS (SELECT r, count(*) AS n FROM hit GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN n USING (r) LEFT JOIN kept USING (r)
+    """,
+    "op4_jaccard_join": rf"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+        k AS (SELECT r, unnest(CASE WHEN len(w) < 5 THEN [w] ELSE list_transform(range(1, len(w) - 3), lambda s: list_slice(w, s, s + 4)) END) AS k FROM d WHERE len(w) > 0),
+        e AS (SELECT DISTINCT r, md5(CAST(len(k) AS VARCHAR) || ' ' || array_to_string(k, ' ')) AS k FROM k),
+        n AS (SELECT r, count(*) AS n FROM e GROUP BY r),
+        pair AS (SELECT a.r AS x, b.r AS y, count(*) AS i FROM e a JOIN e b ON a.k = b.k AND a.r <> b.r GROUP BY a.r, b.r),
+        link AS (SELECT x, y FROM pair JOIN n p ON p.r = x JOIN n q ON q.r = y WHERE 100 * i >= 80 * (p.n + q.n - i)),
+        reach AS (SELECT r, r AS t FROM d UNION SELECT reach.r, link.y FROM reach JOIN link ON link.x = reach.t),
+        c AS (SELECT reach.r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.t GROUP BY reach.r),
+        m AS (SELECT x AS r, count(*) AS n_links FROM link GROUP BY x)
+        SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links FROM d LEFT JOIN n USING (r) LEFT JOIN c USING (r) LEFT JOIN m USING (r)
+    """,
+    "op5_decontaminate": f"""
+        WITH i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_ALNUM} AS w FROM benchmark),
+        iw AS (SELECT item, unnest(CASE WHEN len(w) < 8 THEN [w] ELSE list_transform(range(1, len(w) - 6), lambda s: list_slice(w, s, s + 7)) END) AS k FROM i WHERE len(w) > 0),
+        items AS (SELECT DISTINCT item, len(k) AS n, md5(array_to_string(k, ' ')) AS k FROM iw),
+        d AS (SELECT row_number() OVER () AS r, doc_id, {_ALNUM} AS w FROM documents),
+        s AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM items)),
+        h AS (SELECT r, s, n, item FROM (SELECT r, s, n, md5(array_to_string(list_slice(w, s, s + n - 1), ' ')) AS k FROM s) JOIN items USING (n, k)),
+        p AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM h) GROUP BY r),
+        m AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM h GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+        FROM d LEFT JOIN p USING (r) LEFT JOIN m USING (r)
+    """,
+    "op9_quality_rules": rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text, {_WORDS} AS w, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        g AS (SELECT r, s, count(*) OVER (PARTITION BY r, k) AS n FROM (SELECT r, s, array_to_string(list_slice(w, s, s + 2), ' ') AS k FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS s FROM d))),
+        rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([s, s + 1, s + 2]) AS p FROM g WHERE n > 1) GROUP BY r),
+        l AS (SELECT r, source, text, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS lw FROM (SELECT r, source, text, unnest(lines) AS line FROM d)),
+        m AS (SELECT *, array_to_string(lw, ' ') AS norm FROM l WHERE len(lw) > 0),
+        dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM m GROUP BY r),
+        host AS (SELECT coalesce(source, chr(1)) AS h, count(DISTINCT text) AS docs FROM d GROUP BY 1),
+        above AS (SELECT coalesce(source, chr(1)) AS h, norm, count(DISTINCT text) AS n FROM m GROUP BY 1, 2 HAVING count(DISTINCT text) >= 20),
+        lost AS (SELECT r, sum(len(lw)) AS n FROM m JOIN above ON coalesce(m.source, chr(1)) = above.h AND m.norm = above.norm JOIN host ON host.h = above.h WHERE above.n > 0.01 * docs GROUP BY r),
+        f AS (
+            SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+                   CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_common_words
+            FROM d LEFT JOIN rep USING (r) LEFT JOIN dup USING (r) LEFT JOIN lost USING (r)),
+        b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+        SELECT *, NOT base_failed AND n_common_words <= 0.5 * n_words AS kept FROM b
+    """,
     "op8_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
         q AS (SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
