@@ -94,7 +94,37 @@ _WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+
+def _licence_sql() -> str:
+    """The scan's definition over the same templates."""
+    from papertide.llm.license_scan import BASE, FURTHER
+
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    templates = ", ".join(f"({i}, '{t.label}', {str(t.base).lower()}, {t.share}, {quoted(t.words)}, {t.key_at}, {quoted(t.key_words)})" for i, t in enumerate(BASE + FURTHER))
+    return f"""
+        WITH t(tid, label, base, share, words, key_at, key) AS (VALUES {templates}),
+        tw AS (SELECT tid, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS place FROM t),
+        d AS (SELECT row_number() OVER () AS r, doc_id, {_ALNUM} AS w FROM documents),
+        dw AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM d),
+        df AS (SELECT word, count(DISTINCT r) AS df FROM dw WHERE word IN (SELECT word FROM tw) GROUP BY word),
+        v AS (SELECT tid, word, min(place) AS first, count(*) AS n, any_value(1 + ln(((SELECT count(*) FROM d) + 1) / (coalesce(df, 0) + 1))) AS idf FROM tw LEFT JOIN df USING (word) GROUP BY tid, word),
+        c AS (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY idf DESC, first) AS k FROM v),
+        x AS (SELECT tid, word, idf / sum(idf * n) OVER (PARTITION BY tid) AS weight FROM c WHERE k <= 4),
+        s AS (SELECT r, tid, pos - place AS start, sum(weight) AS votes FROM dw JOIN x USING (word) JOIN tw USING (tid, word) GROUP BY r, tid, pos - place),
+        b AS (SELECT r, tid, max(votes) AS best FROM s GROUP BY r, tid),
+        f AS (SELECT s.r, tid, label, base, start FROM s JOIN t USING (tid) JOIN d ON d.r = s.r WHERE votes >= share - 1e-9 AND start + key_at >= 0 AND list_slice(w, start + key_at + 1, start + key_at + len(key)) = key),
+        p AS (SELECT r, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+                     coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM f GROUP BY r),
+        m AS (SELECT r, round(max(least(0.99, best)), 6) AS best FROM b GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+               coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(CASE WHEN labels IS NOT NULL THEN 1 ELSE coalesce(best, 0) END AS DOUBLE) AS score
+        FROM d LEFT JOIN p USING (r) LEFT JOIN m USING (r)
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_license_scan": _licence_sql(),
     "op1_substring_dedup": f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
         s AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS s FROM d),
