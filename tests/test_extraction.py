@@ -80,3 +80,17 @@ def test_text_functions(spark):
     assert one(T.clean_aux, "\r\nA\x0b\tB\x01\n") == "A\n\tB"
     for target, expected in {"slides/s1.xml": "ppt/slides/s1.xml", "/x/y": "x/y", "../a/./b": "a/b", "//r": "/r"}.items():
         assert one(lambda c: T.resolve_target("ppt", c), target) == expected
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from papertide.__main__ import main
+
+    good, bad = tmp_path / "a.docx", tmp_path / "b"
+    good.write_bytes(new.docx_bytes("text"))
+    bad.write_bytes(b"junk")
+    assert main([]) == 2
+    assert main([str(good)]) == 0
+    assert capsys.readouterr().out == "text\n"
+    assert main([str(good), str(bad), str(tmp_path / "none")]) == 1
+    shown = capsys.readouterr()
+    assert shown.out == f"==> {good} <==\ntext\n\n" and f"papertide: {bad}: file too small" in shown.err and "none" in shown.err
