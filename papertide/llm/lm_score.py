@@ -83,8 +83,9 @@ def _score(vocabulary: Vocabulary, model: GatedModel, shards: int):
         held = np.array([is_held_out(i) for i in ids.to_pylist()])
         key = hashlib.md5(b"\0".join([*texts, *(str(i).encode() for i in ids.to_pylist())])).digest()
         n_tokens, n_top = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-        top_sum, scores = np.zeros(len(texts)), np.zeros(len(texts))
-        rare_h, rare_doc = [], []
+        top_sum = np.zeros(len(texts))
+        rare_h, rare_doc, sequences = [], [], []
+        small = np.uint16 if vocabulary.size <= 1 << 16 else np.uint32
         for a, b in chunks(texts):
             chunk = Chunk(texts[a:b])
             h, owner = chunk.hashes(), chunk.text_of_word()
@@ -93,10 +94,11 @@ def _score(vocabulary: Vocabulary, model: GatedModel, shards: int):
             n_tokens[a:b] = chunk.hi - chunk.lo + 1
             n_top[a:b] = np.bincount(owner[known], minlength=b - a) + (vocabulary.counts[END] > 0)
             top_sum[a:b] = np.bincount(owner[known], np.log10(vocabulary.counts[v[known]] + 1), b - a) + np.log10(vocabulary.counts[END] + 1)
-            scores[a:b] = model.score([np.append(v[i:j], END) for i, j in zip(chunk.lo.tolist(), chunk.hi.tolist(), strict=True)])
+            v = v.astype(small)
+            sequences += [np.append(v[i:j], small(END)) for i, j in zip(chunk.lo.tolist(), chunk.hi.tolist(), strict=True)]
             rare_h.append(h[~known])
             rare_doc.append(owner[~known] + a)
-        n = len(texts)
+        n, scores = len(texts), model.score(sequences)  # all together, so that texts of like length share a batch
         none, blank = pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32())
         yield pa.RecordBatch.from_arrays([pa.array(["doc"] * n), pa.array([key] * n), blank, pa.array(np.arange(n, dtype=np.int32)), ids, pa.array(held), pa.array(n_tokens), pa.array(n_top), pa.array(top_sum), pa.array(scores), none, none, none, none], names)
         h, doc = np.concatenate(rare_h), np.concatenate(rare_doc).astype(np.uint32)
