@@ -2,7 +2,7 @@
 
 1. Words of training documents are counted (by 64-bit hash); the commonest become the model's
    vocabulary, the rest share its unknown token.
-2. The gated recurrent model of `gated_lm` is trained on the `sample_docs` training documents with the least
+2. The gated recurrent model of `gated_lm` is trained on `sample_docs` training documents at most, picked by their
    hashes, a bounded sample.
 3. One pass scores every document by the model, and lists its words outside the vocabulary for the shards
    of their hashes; each shard counts its words over all training documents and
@@ -180,9 +180,10 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabul
     rest, rest_distinct = total - int(words.counts.sum()), distinct - len(top) - (1 if end else 0)
 
     train = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) != 2
-    sample = rows.where(train).select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "text").limit(sample_docs).collect()
+    every = max(1, rows.where(train).count() // sample_docs)
+    sample = rows.where(train).select("text", F.xxhash64("doc_id", "text").alias("h")).where(F.pmod("h", F.lit(every)) == 0).distinct().collect()
     stream = [np.array([END])]
-    for r in sample:
+    for r in sorted(sample, key=lambda r: (r.h, r.text or ""))[:sample_docs]:
         chunk = Chunk([(r.text or "").encode().lower()])
         stream += [words.of(chunk.hashes()), np.array([END])]
     model = GatedModel(words.size, hidden)
