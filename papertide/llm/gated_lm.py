@@ -26,15 +26,27 @@ class GatedModel:
     p: dict[str, np.ndarray] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
+        given = self.p
         self.width = max(1, math.isqrt(max(0, self.n_vocab - 1)) + 1)
         self.classes = -(-self.n_vocab // self.width)
         r, h = np.random.default_rng(self.seed), self.hidden
         init = lambda *s: r.normal(0, 0.08, s).astype(_F)
         self.p = {"win": init(self.n_vocab, 3 * h), "u": init(h, 3 * h), "b": np.zeros(3 * h, _F), "wc": init(h, self.classes), "bc": np.zeros(self.classes, _F), "ww": init(self.classes, h, self.width), "bw": np.zeros((self.classes, self.width), _F)}
+        if given:
+            self.p = given
+            return
         spare = self.classes * self.width - self.n_vocab
         if spare:  # the last class is not full
             self.p["bw"][-1, self.width - spare :] = -1e9
 
+    def flat(self) -> np.ndarray:
+        """All parameters in one array."""
+        return np.concatenate([v.reshape(-1) for v in self.p.values()])
+
+    def set_flat(self, values: np.ndarray) -> None:
+        cuts = np.cumsum([v.size for v in self.p.values()])[:-1]
+        self.p = {k: x.reshape(v.shape).copy() for (k, v), x in zip(self.p.items(), np.split(values, cuts), strict=True)}
+
     def _step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         n, hu = self.hidden, h @ self.p["u"]
         gates = _sigmoid(x[:, : 2 * n] + hu[:, : 2 * n])
@@ -97,10 +109,10 @@ class GatedModel:
 
     def train(self, stream: np.ndarray, epochs: int = 2, rows: int = 32, steps: int = 16, rate: float = 0.01) -> list[float]:
         """Adam on windows of a stream of ids that holds end tokens; returns the mean loss of each epoch."""
-        n = (len(stream) - 1) // rows
-        if n < 1:
+        if len(stream) < 2:
             return []
-        x, y = stream[: n * rows].reshape(rows, n).T, stream[1 : n * rows + 1].reshape(rows, n).T
+        n = -(-(len(stream) - 1) // rows)  # the last row is filled up from the first, so that no token is left out
+        x, y = np.resize(stream[:-1], n * rows).reshape(rows, n).T, np.resize(stream[1:], n * rows).reshape(rows, n).T
         m, v, k, losses = {a: np.zeros_like(b) for a, b in self.p.items()}, {a: np.zeros_like(b) for a, b in self.p.items()}, 0, []
         for _ in range(epochs):
             h, total, seen = np.zeros((rows, self.hidden), _F), 0.0, 0
@@ -133,8 +145,10 @@ class GatedModel:
         g["wc"], g["bc"] = flat.T @ prob / size, prob.sum(0) / size
         dh_all = prob @ p["wc"].T / size
         loss = -float(log_c.sum())
-        for c in np.unique(cls):
-            i = np.flatnonzero(cls == c)
+        order = np.argsort(cls, kind="stable")
+        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
+        for c in np.flatnonzero(np.diff(cuts)):
+            i = order[cuts[c] : cuts[c + 1]]
             log_w, q = self._picked(flat[i] @ p["ww"][c] + p["bw"][c], within[i])
             q[np.arange(len(i)), within[i]] -= 1
             g["ww"][c], g["bw"][c] = flat[i].T @ q / size, q.sum(0) / size
@@ -142,16 +156,19 @@ class GatedModel:
             loss -= float(log_w.sum())
         dh_all = dh_all.reshape(*x.shape, n)
         carry = np.zeros((x.shape[1], n), _F)
+        dx, du = np.empty((*x.shape, 3 * n), flat.dtype), np.empty((*x.shape, 3 * n), flat.dtype)
         for t in range(len(x) - 1, -1, -1):
             before, z, r, c, hu = kept[t]
             dh = dh_all[t] + carry
             dc = dh * (1 - z) * (1 - c * c)
-            dz = dh * (before - c) * z * (1 - z)
-            dr = dc * hu * r * (1 - r)
-            dx = np.concatenate([dz, dr, dc], 1)
-            du = np.concatenate([dz, dr, dc * r], 1)
-            np.add.at(g["win"], x[t], dx)
-            g["b"] += dx.sum(0)
-            g["u"] += before.T @ du
-            carry = dh * z + du @ p["u"].T
+            dx[t, :, :n] = dh * (before - c) * z * (1 - z)
+            dx[t, :, n : 2 * n] = dc * hu * r * (1 - r)
+            dx[t, :, 2 * n :] = dc
+            du[t, :, : 2 * n], du[t, :, 2 * n :] = dx[t, :, : 2 * n], dc * r
+            carry = dh * z + du[t] @ p["u"].T
+        dx, du = dx.reshape(size, 3 * n), du.reshape(size, 3 * n)
+        order = np.argsort(x, axis=None, kind="stable")
+        ids, first = np.unique(x.reshape(-1)[order], return_index=True)
+        g["win"][ids] = np.add.reduceat(dx[order], first)
+        g["b"], g["u"] = dx.sum(0), np.concatenate([k[0] for k in kept]).T @ du
         return loss, g, h

@@ -2,8 +2,9 @@
 
 1. Words of training documents are counted (by 64-bit hash); the commonest become the model's
    vocabulary, the rest share its unknown token.
-2. The gated recurrent model of `gated_lm` is trained on `sample_docs` training documents at most, picked by their
-   hashes, a bounded sample.
+2. The gated recurrent model of `gated_lm` is trained on all training documents: their ids are written as streams
+   (shards), dealt by hashes into `rounds`.  In a round each of its shards trains on from the same parameters, and what
+   they come to is averaged by their numbers of tokens; an epoch is all rounds.
 3. One pass scores every document by the model, and lists its words outside the vocabulary for the shards
    of their hashes; each shard counts its words over all training documents and
    returns a sum for each document.  No shard holds a common word: those are all in the vocabulary.
@@ -26,10 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papertide.llm.gated_lm import GatedModel
-from papertide.llm.shared import own, written
+from papertide.llm.shared import new_folder, own, written
 from papertide.llm.words import Chunk, chunks
 
 UNKNOWN, END = 0, 1
+#: Bytes of text that are hashed at once.
+CHUNK = 500_000
 _END_HASH = np.uint64(0x8000000000000001)
 
 
@@ -44,7 +47,7 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [t for t, i in zip(_texts(batch), batch.column(0).to_pylist(), strict=True) if not is_held_out(i)]
-        found = [np.unique(Chunk(texts[a:b]).hashes(), return_counts=True) for a, b in chunks(texts)]
+        found = [np.unique(Chunk(texts[a:b]).hashes(), return_counts=True) for a, b in chunks(texts, CHUNK)]
         if texts:
             found.append((np.array([_END_HASH]), np.array([len(texts)])))
             h, inverse = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
@@ -86,7 +89,7 @@ def _score(vocabulary: Vocabulary, model: GatedModel, shards: int):
         top_sum = np.zeros(len(texts))
         rare_h, rare_doc, sequences = [], [], []
         small = np.uint16 if vocabulary.size <= 1 << 16 else np.uint32
-        for a, b in chunks(texts):
+        for a, b in chunks(texts, CHUNK):
             chunk = Chunk(texts[a:b])
             h, owner = chunk.hashes(), chunk.text_of_word()
             v = vocabulary.of(h)
@@ -166,7 +169,102 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close(key, known, sums)
 
 
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = 1_024, hidden: int = 24, sample_docs: int = 1_000, sample_tokens: int = 200_000, epochs: int = 2) -> DataFrame:
+def _sequences(vocabulary: Vocabulary):
+    """(lot, key, text) -> (lot, key, ids): the ids of the words and the end."""
+    small = np.uint16 if vocabulary.size <= 1 << 16 else np.uint32
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [(t or b"").lower() for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            ids: list[bytes] = []
+            for a, b in chunks(texts, CHUNK):
+                chunk = Chunk(texts[a:b])
+                v = vocabulary.of(chunk.hashes()).astype(small)
+                ids += [np.append(v[i:j], small(END)).tobytes() for i, j in zip(chunk.lo.tolist(), chunk.hi.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["lot", "key", "ids"])
+
+    return run
+
+
+def _streams(rounds: int):
+    """Rows sorted by lot -> (round, shard, stream): a row for each lot."""
+
+    def close(lot: int, held: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([lot // rounds], pa.int32()), pa.array([b"".join(held)], pa.binary()), pa.array([lot % rounds], pa.int32())], ["shard", "stream", "round"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for lot, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held and lot != now:
+                    yield close(now, held)
+                    held = []
+                now = lot
+                held.append(ids)
+        if held:
+            yield close(now, held)
+
+    return run
+
+
+def training_streams(rows: DataFrame, words: Vocabulary, shards: int, rounds: int) -> DataFrame:
+    """(shard, stream, round): the ids of all training documents of rows (doc_id, text), each document whole in one stream."""
+    train = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) != 2
+    key = F.xxhash64("doc_id", "text")
+    dealt = rows.where(train).select(F.pmod(key, F.lit(shards * rounds)).cast("int").alias("lot"), key.alias("key"), "text")
+    listed = dealt.mapInArrow(_sequences(words), "lot int, key long, ids binary").repartition(shards * rounds, "lot").sortWithinPartitions("lot", "key", "ids")
+    streams = listed.select("lot", "ids").mapInArrow(_streams(rounds), "shard int, stream binary, round int")
+    path = new_folder(rows.sparkSession, "streams")
+    streams.write.partitionBy("round").parquet(path)
+    return rows.sparkSession.read.schema(streams.schema).parquet(path)
+
+
+def _train(model: GatedModel, rate: float, pieces: int):
+    """(shard, stream) -> (piece, shard, weight, part): the flat parameters after one pass over the stream, in pieces."""
+    small = np.uint16 if model.n_vocab <= 1 << 16 else np.uint32
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                stream = np.append(small(END), np.frombuffer(data.as_buffer(), small))
+                mine = GatedModel(model.n_vocab, model.hidden, p={k: v.copy() for k, v in model.p.items()})
+                mine.train(stream, 1, rows=int(np.clip(len(stream) // 1_024, 8, 256)), rate=rate)
+                parts = np.array_split(mine.flat(), pieces)
+                yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array([shard] * pieces, pa.int32()), pa.array([len(stream) - 1] * pieces, pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], ["piece", "shard", "weight", "part"])
+
+    return run
+
+
+def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by piece and shard -> (piece, part): the means of the pieces by weight."""
+    now, total, weight = None, None, 0
+    close = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())], ["piece", "part"])
+    for batch in batches:
+        for row in batch.to_pylist():
+            x = np.frombuffer(row["part"], np.float32).astype(np.float64) * row["weight"]
+            if row["piece"] == now:
+                total, weight = total + x, weight + row["weight"]
+            else:
+                if now is not None:
+                    yield close()
+                now, total, weight = row["piece"], x, row["weight"]
+    if now is not None:
+        yield close()
+
+
+def trained(rows: DataFrame, words: Vocabulary, train_tokens: int, hidden: int, epochs: int, rounds: int = 4, shard_tokens: int = 1 << 18, pieces: int = 32) -> GatedModel:
+    """The model after `epochs` over all training documents of rows (doc_id, text)."""
+    model = GatedModel(words.size, hidden)
+    streams = training_streams(rows, words, max(1, -(-train_tokens // (rounds * shard_tokens))), rounds)
+    for k in range(epochs * rounds):
+        each = streams.where(F.col("round") == k % rounds).select("shard", "stream").mapInArrow(_train(model, 0.01 / (1 + k / rounds), pieces), "piece int, shard int, weight long, part binary")
+        found = each.repartition(pieces, "piece").sortWithinPartitions("piece", "shard").mapInArrow(_average, "piece int, part binary").collect()
+        if found:  # a round of a small table may have no documents
+            model.set_flat(np.concatenate([np.frombuffer(r.part, np.float32) for r in sorted(found, key=lambda r: r.piece)]))
+    return model
+
+
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = 1_024, hidden: int = 24, epochs: int = 2) -> DataFrame:
     """Rows (id_col, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
     spark = df.sparkSession
     rows = own(df, doc_id=id_col, text=text_col)
@@ -179,15 +277,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabul
     words = Vocabulary(top, end.c if end else 0)
     rest, rest_distinct = total - int(words.counts.sum()), distinct - len(top) - (1 if end else 0)
 
-    train = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) != 2
-    every = max(1, rows.where(train).count() // sample_docs)
-    sample = rows.where(train).select("text", F.xxhash64("doc_id", "text").alias("h")).where(F.pmod("h", F.lit(every)) == 0).distinct().collect()
-    stream = [np.array([END])]
-    for r in sorted(sample, key=lambda r: (r.h, r.text or ""))[:sample_docs]:
-        chunk = Chunk([(r.text or "").encode().lower()])
-        stream += [words.of(chunk.hashes()), np.array([END])]
-    model = GatedModel(words.size, hidden)
-    model.train(np.concatenate(stream)[:sample_tokens], epochs)
+    model = trained(rows, words, total, hidden, epochs)
 
     shards = 1 << (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
     schema = f"kind string, batch binary, shard int, idx int, doc_id {kind}, held_out boolean, n_tokens long, n_top long, top_sum double, model double, words binary, docs binary, counts binary, train binary"
