@@ -16,9 +16,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of linked documents."""
-    found = jaccard_join.similar(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """One row, that with the smallest id (null last) and then text digest, of each group of linked rows."""
+    key = F.struct(F.isnull("doc_id").alias("none"), "doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("md5"))
+    keyed = docs.withColumn("__key", key)
+    found = jaccard_join.similar(keyed, id_col="__key").where(F.col("__key").eqNullSafe(F.col("component_id"))).select("__key").distinct()
+    one = keyed.join(found, "__key", "left_semi").groupBy("__key").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
+    return one.select("row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
