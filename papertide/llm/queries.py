@@ -54,7 +54,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from papertide.llm.token_files import read_files, write_files
 
     documents = table(spark, sf_dir, "documents")
-    return read_files(write_files(documents, public_tokenizers.path("byte_bpe_50k.json")), documents.schema["doc_id"].dataType.simpleString())
+    return read_files(write_files(documents, public_tokenizers.path("byte_bpe_50k.json"), added=True), documents.schema["doc_id"].dataType.simpleString())
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

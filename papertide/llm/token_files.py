@@ -161,12 +161,14 @@ class Encoder:
     #: A blank after other white space: such texts are cut more carefully.
     _UNSAFE, _SAFE = re.compile(r"\s "), re.compile(r"(?<=\S)(?= )")
 
-    def __init__(self, path: str, pieces: int = 400_000):
+    def __init__(self, path: str, pieces: int = 400_000, added: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.normalizer is not None:
             raise ValueError("a tokenizer with a normalizer may join pieces")
+        contents = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
+        self._added = re.compile("|".join(map(re.escape, contents))) if contents else None
         self.n_vocab = self.tokenizer.get_vocab_size()
         self.bits = max(1, (self.n_vocab - 1).bit_length())
         pre = self.tokenizer.pre_tokenizer
@@ -194,6 +196,8 @@ class Encoder:
         return array("I", [t.id for t in self._model.tokenize(shown)]).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
+        if self._added is not None and self._added.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         if self._UNSAFE.search(text):
             data = b"".join(map(self._plain.__getitem__, self._SAFE.split(text)))
         else:
@@ -203,16 +207,16 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, added: bool = False) -> Encoder:
+    return Encoder(path, added=added)
 
 
 def open_folder(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
-def write_files(df: DataFrame, tokenizer_file: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
-    """Writes the files and returns their manifest (part, file, n_ids, n_docs)."""
+def write_files(df: DataFrame, tokenizer_file: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, added: bool = False) -> DataFrame:
+    """Writes the files and returns their manifest (part, file, n_ids, n_docs); added: contents of added tokens in texts become these, as by the library's defaults."""
     folder = folder or new_folder(df.sparkSession, "tokens")
     rows = own(df, doc_id=id_col, text=F.coalesce(F.col(text_col), F.lit(""))).withColumn("h", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
@@ -227,7 +231,7 @@ def write_files(df: DataFrame, tokenizer_file: str, folder: str | None = None, i
         fs.create_dir(base, recursive=True)
         part = TaskContext.get().partitionId()
         name = f"{base}/part-{part:06d}-{uuid.uuid4().hex}.ids"
-        enc = encoder(tokenizer_file)
+        enc = encoder(tokenizer_file, added)
         end = np.array([end_id], np.uint32)
         id_type = batch.column(0).type
         with fs.open_output_stream(name) as out:
