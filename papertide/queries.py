@@ -95,7 +95,7 @@ def extract_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, CASE WHEN doc_id % 6 < 3 THEN 'zip' ELSE 'cfb' END AS container, {_FORMAT} AS format FROM documents")
 def detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = documents(spark, sf_dir, lambda i, _: any_file(i, "x"))
+    files = documents(spark, sf_dir, any_file)
     formats = typed_rows(files).where("kind = 'part'").groupBy("doc_id").agg(F.max("format").alias("format"))
     return files.select("doc_id", container(F.col("content")).alias("container")).join(formats, "doc_id")
 
