@@ -2,6 +2,10 @@
 
 Token ids are ranks by frequency, so classes are equal runs of ids.  The probability of a token is that
 of its class times that within the class, each a softmax over about the square root of the vocabulary.
+
+A window's steps and rows stand side by side as places, step * rows + row.  States and gates are (places, hidden), so that
+each step is one stretch; logits are (entries, places), so that a softmax runs along the places.  Arrays of a window's size are
+kept and used again: fresh ones cost more, in page faults, than the arithmetic.
 """
 
 from __future__ import annotations
@@ -12,10 +16,17 @@ from dataclasses import dataclass, field
 import numpy as np
 
 _F = np.float32
+#: Places of a window of scoring.
+PLACES = 8_192
+_UPDATE, _RESET, _NEW = 0, 1, 2
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+def _squash(x: np.ndarray) -> None:
+    """x becomes its logistic function."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)  # where this is beyond the range the function is 0, as it should be
+    x += 1
+    np.reciprocal(x, out=x)
 
 
 @dataclass
@@ -29,9 +40,10 @@ class GatedModel:
         given = self.p
         self.width = max(1, math.isqrt(max(0, self.n_vocab - 1)) + 1)
         self.classes = -(-self.n_vocab // self.width)
+        self._kept: dict[str, np.ndarray] = {}
         r, h = np.random.default_rng(self.seed), self.hidden
         init = lambda *s: r.normal(0, 0.08, s).astype(_F)
-        self.p = {"win": init(self.n_vocab, 3 * h), "u": init(h, 3 * h), "b": np.zeros(3 * h, _F), "wc": init(h, self.classes), "bc": np.zeros(self.classes, _F), "ww": init(self.classes, h, self.width), "bw": np.zeros((self.classes, self.width), _F)}
+        self.p = {"win": init(3, self.n_vocab, h), "u": init(3, h, h), "b": np.zeros((3, 1, h), _F), "wc": init(h, self.classes), "bc": np.zeros(self.classes, _F), "ww": init(self.classes, h, self.width), "bw": np.zeros((self.classes, self.width), _F)}
         if given:
             self.p = given
             return
@@ -44,67 +56,118 @@ class GatedModel:
         return np.concatenate([v.reshape(-1) for v in self.p.values()])
 
     def set_flat(self, values: np.ndarray) -> None:
+        """The parameters become views of values."""
+        self.p = self._views(values)
+
+    def _views(self, values: np.ndarray) -> dict[str, np.ndarray]:
         cuts = np.cumsum([v.size for v in self.p.values()])[:-1]
-        self.p = {k: x.reshape(v.shape).copy() for (k, v), x in zip(self.p.items(), np.split(values, cuts), strict=True)}
-
-    def _step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        n, hu = self.hidden, h @ self.p["u"]
-        gates = _sigmoid(x[:, : 2 * n] + hu[:, : 2 * n])
-        z, r = gates[:, :n], gates[:, n:]
-        c = np.tanh(x[:, 2 * n :] + r * hu[:, 2 * n :])
-        return c + z * (h - c), z, r, c, hu[:, 2 * n :]
-
-    def states(self, ids: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """ids (steps, rows) -> the state before each next token (steps, rows, hidden), and the last state."""
-        out = np.empty((*ids.shape, self.hidden), _F)
-        for t, row in enumerate(ids):
-            h = self._step(self.p["win"][row] + self.p["b"], h)[0]
-            out[t] = h
-        return out, h
-
-    def _picked(self, logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log probabilities of the entries at, and all probabilities."""
-        e = np.exp(logits - logits.max(1, keepdims=True))
-        total = e.sum(1, keepdims=True)
-        prob = e / total
-        return np.log(np.maximum(prob[np.arange(len(at)), at], 1e-30)), prob
-
-    def log_probs(self, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Natural logarithms, float64."""
-        cls, within = targets // self.width, targets % self.width
-        out = self._picked(h @ self.p["wc"] + self.p["bc"], cls)[0].astype(np.float64)
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
+        return {k: x.reshape(v.shape) for (k, v), x in zip(self.p.items(), np.split(values, cuts), strict=True)}
+
+    def _room(self, name: str, *shape: int) -> np.ndarray:
+        """An array for this purpose; what it held before is lost."""
+        n, kind, found = math.prod(shape), self.p["u"].dtype, self._kept.get(name)
+        if found is None or found.size < n or found.dtype != kind:
+            found = self._kept[name] = np.empty(n, kind)
+        return found[:n].reshape(shape)
+
+    def _unrolled(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids (steps, rows), first (rows, hidden) -> states (rows + places, hidden) from first on, gates (3, places, hidden), and the recurrent part of the new state before its reset."""
+        p, n, (steps, rows) = self.p, self.hidden, ids.shape
+        x, states = self._room("x", 3, ids.size, n), self._room("states", rows + ids.size, n)
+        inner, hu, rest = self._room("inner", ids.size, n), self._room("hu", 3, rows, n), self._room("rest", rows, n)
+        where = ids.reshape(-1)
+        for gate, table in enumerate(p["win"] + p["b"]):
+            np.take(table, where, axis=0, out=x[gate], mode="clip")
+        states[:rows] = h = first
+        for t in range(steps):
+            at = slice(t * rows, (t + 1) * rows)
+            np.matmul(h, p["u"], out=hu)
+            gates, new = x[:_NEW, at], x[_NEW, at]
+            gates += hu[:_NEW]
+            _squash(gates)
+            inner[at] = hu[_NEW]
+            np.multiply(gates[_RESET], hu[_NEW], out=rest)
+            new += rest
+            new *= 2  # tanh by the cheaper exponential
+            _squash(new)
+            new *= 2
+            new -= 1
+            np.subtract(h, new, out=rest)
+            rest *= gates[_UPDATE]
+            rest += new
+            h = states[rows + t * rows : rows + (t + 1) * rows]
+            h[:] = rest
+        return states, x, inner
+
+    def _picked(self, logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Log probabilities of the entry at of each place; logits become the probabilities."""
+        logits -= logits.max(0)
+        np.exp(logits, out=logits)
+        logits /= logits.sum(0)
+        return np.log(np.maximum(logits[at, np.arange(len(at))], 1e-30))
+
+    def _classes_of(self, states: np.ndarray) -> np.ndarray:
+        logits = np.matmul(self.p["wc"].T, states.T, out=self._room("classes", self.classes, len(states)))
+        logits += self.p["bc"][:, None]
+        return logits
+
+    def _within(self, states: np.ndarray, cuts: list[int]) -> np.ndarray:
+        """Logits within the classes; states are sorted by class, cuts[c] is where class c begins."""
+        logits = self._room("within", self.width, len(states))
         for c in range(self.classes):
-            i = order[cuts[c] : cuts[c + 1]]
-            if len(i):
-                out[i] += self._picked(h[i] @ self.p["ww"][c] + self.p["bw"][c], within[i])[0]
+            a, b = cuts[c], cuts[c + 1]
+            if b > a:
+                part = np.matmul(self.p["ww"][c].T, states[a:b].T, out=logits[:, a:b])
+                part += self.p["bw"][c][:, None]
+        return logits
+
+    def _by_class(self, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+        cls, within = np.divmod(targets.astype(np.int32), np.int32(self.width))
+        order = np.argsort(cls.astype(np.uint16) if self.classes <= 1 << 16 else cls, kind="stable")
+        return cls, within, order, np.searchsorted(cls[order], np.arange(self.classes + 1)).tolist()
+
+    def log_probs(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """states (n, hidden) -> natural logarithms of the probabilities of the targets, float64."""
+        cls, within, order, cuts = self._by_class(targets)
+        out = self._picked(self._classes_of(states), cls).astype(np.float64)
+        out[order] += self._picked(self._within(states[order], cuts), within[order])
         return out
 
-    def score(self, texts: list[np.ndarray], rows: int = 512, steps: int = 32) -> np.ndarray:
-        """The log10 probability of each text; the state is carried from window to window through the whole text."""
-        out = np.zeros(len(texts))
-        order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+    def score(self, texts: list[np.ndarray], rows: int = 512, steps: int = 8) -> np.ndarray:
+        """The log10 probability of each text; the state is carried from window to window through the whole text.
+
+        Texts of like length go side by side.  A window reaches to the end of its shortest text, but for `steps` at least and
+        about PLACES places at most, so that a few long texts take few windows.
+        """
+        out, size = np.zeros(len(texts)), np.array([len(t) for t in texts], np.int64)
+        order = np.argsort(size, kind="stable")
         for a in range(0, len(order), rows):
             group = order[a : a + rows]
-            longest = max(len(texts[i]) for i in group)
-            h = np.zeros((len(group), self.hidden), _F)
-            before = np.ones(len(group), np.int64)  # as after an end token
-            alive = np.arange(len(group))
-            for s in range(0, longest, steps):
-                keep = np.array([len(texts[group[i]]) > s for i in alive])
-                alive, h, before = alive[keep], h[keep], before[keep]
-                width = min(steps, longest - s)
-                ids = np.zeros((width, len(alive)), np.int64)
-                real = np.zeros((width, len(alive)), bool)
-                for k, i in enumerate(alive):
-                    part = texts[group[i]][s : s + width]
-                    ids[: len(part), k], real[: len(part), k] = part, True
-                inputs = np.concatenate([before[None], ids[:-1]])
-                states, h = self.states(inputs, h)
-                before = ids[-1]
-                got = self.log_probs(states[real], ids[real])
-                out += np.bincount(np.array(group)[alive][np.nonzero(real)[1]], got, len(texts))
+            flat, longest = np.concatenate([texts[i] for i in group]), int(size[group].max())
+            stop = np.cumsum(size[group])
+            begin, alive = stop - size[group], np.arange(len(group))
+            h, before = np.zeros((len(group), self.hidden), self.p["u"].dtype), np.ones(len(group), flat.dtype)  # as after an end token
+            s = 0
+            while s < longest:
+                keep = size[group[alive]] > s
+                if not keep.all():
+                    alive, h, before = alive[keep], h[keep], before[keep]
+                least = int(size[group[alive[0]]]) - s
+                width = min(longest - s, max(steps, min(least, PLACES // len(alive))))
+                at = begin[alive] + s + np.arange(width)[:, None]
+                real = at < stop[alive]
+                ids = flat[np.where(real, at, 0)]
+                with np.errstate(over="ignore"):
+                    states, _, _ = self._unrolled(np.concatenate([before[None], ids[:-1]]), h)
+                h, before = states[-len(alive) :].copy(), ids[-1]
+                states = states[len(alive) :]
+                if real.all():
+                    got, mine = self.log_probs(states, ids.reshape(-1)).reshape(ids.shape).sum(0), alive
+                else:
+                    chosen = np.flatnonzero(real)
+                    got, mine = self.log_probs(states[chosen], ids.reshape(-1)[chosen]), alive[chosen % len(alive)]
+                out[group] += np.bincount(mine, got, len(group))
+                s += width
         return out / math.log(10)
 
     def train(self, stream: np.ndarray, epochs: int = 2, rows: int = 32, steps: int = 16, rate: float = 0.01) -> list[float]:
@@ -113,62 +176,99 @@ class GatedModel:
             return []
         n = -(-(len(stream) - 1) // rows)  # the last row is filled up from the first, so that no token is left out
         x, y = np.resize(stream[:-1], n * rows).reshape(rows, n).T, np.resize(stream[1:], n * rows).reshape(rows, n).T
-        m, v, k, losses = {a: np.zeros_like(b) for a, b in self.p.items()}, {a: np.zeros_like(b) for a, b in self.p.items()}, 0, []
+        values = self.flat()
+        self.set_flat(values)
+        m, v, step, root = (np.zeros_like(values) for _ in range(4))
+        k, losses = 0, []
         for _ in range(epochs):
-            h, total, seen = np.zeros((rows, self.hidden), _F), 0.0, 0
+            h, total, seen = np.zeros((rows, self.hidden), values.dtype), 0.0, 0
             for s in range(0, n, steps):
-                loss, grads, h = self._window(x[s : s + steps], y[s : s + steps], h)
+                loss, grads, h = self._window(np.ascontiguousarray(x[s : s + steps]), np.ascontiguousarray(y[s : s + steps]), h)
                 total, seen, k = total + loss, seen + x[s : s + steps].size, k + 1
-                norm = math.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-                for a, g in grads.items():
-                    g = g * min(1.0, 1.0 / max(norm, 1e-9))
-                    m[a] = 0.9 * m[a] + 0.1 * g
-                    v[a] = 0.99 * v[a] + 0.01 * g * g
-                    self.p[a] -= (rate * (m[a] / (1 - 0.9**k)) / (np.sqrt(v[a] / (1 - 0.99**k)) + 1e-6)).astype(_F)
+                g = np.concatenate([grads[a].reshape(-1) for a in self.p], out=step)
+                g *= min(1.0, 1.0 / max(math.sqrt(float(g @ g)), 1e-9))
+                m *= 0.9  # the moments without their weights 0.1 and 0.01, which the scale below brings in
+                m += g
+                g *= g
+                v *= 0.99
+                v += g
+                deviation = math.sqrt(0.01 / (1 - 0.99**k))
+                np.sqrt(v, out=root)
+                root += 1e-6 / deviation
+                np.divide(m, root, out=step)
+                step *= rate * 0.1 / (1 - 0.9**k) / deviation
+                values -= step
             losses.append(total / max(1, seen))
         return losses
 
     def _window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
         """Loss, gradients of the mean loss, and the state to carry on; gradients stop at the window's begin."""
-        p, n, size = self.p, self.hidden, x.size
-        g = {a: np.zeros_like(b) for a, b in p.items()}
-        kept, states = [], []
-        for row in x:
-            new, z, r, c, hu = self._step(p["win"][row] + p["b"], h)
-            kept.append((h, z, r, c, hu))
-            states.append(new)
-            h = new
-        flat, target = np.concatenate(states), y.reshape(-1)
-        cls, within = target // self.width, target % self.width
-        log_c, prob = self._picked(flat @ p["wc"] + p["bc"], cls)
-        prob[np.arange(size), cls] -= 1
-        g["wc"], g["bc"] = flat.T @ prob / size, prob.sum(0) / size
-        dh_all = prob @ p["wc"].T / size
-        loss = -float(log_c.sum())
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c in np.flatnonzero(np.diff(cuts)):
-            i = order[cuts[c] : cuts[c + 1]]
-            log_w, q = self._picked(flat[i] @ p["ww"][c] + p["bw"][c], within[i])
-            q[np.arange(len(i)), within[i]] -= 1
-            g["ww"][c], g["bw"][c] = flat[i].T @ q / size, q.sum(0) / size
-            dh_all[i] += q @ p["ww"][c].T / size
-            loss -= float(log_w.sum())
-        dh_all = dh_all.reshape(*x.shape, n)
-        carry = np.zeros((x.shape[1], n), _F)
-        dx, du = np.empty((*x.shape, 3 * n), flat.dtype), np.empty((*x.shape, 3 * n), flat.dtype)
+        p, n, size, rows = self.p, self.hidden, x.size, x.shape[1]
+        with np.errstate(over="ignore"):
+            all_states, gates, inner = self._unrolled(x, h)
+        before, states = all_states[:size], all_states[rows:]
+        cls, within, order, cuts = self._by_class(y.reshape(-1))
+        places = np.arange(size)
+        # The classes, then the words within them: the probabilities less one at the targets are the gradients of the logits.
+        prob = self._classes_of(states)
+        loss = -float(self._picked(prob, cls).sum())
+        prob[cls, places] -= 1
+        g = {"wc": (prob @ states).T, "bc": prob.sum(1)}
+        dh = np.matmul(prob.T, p["wc"].T, out=self._room("dh", size, n))
+        ranked, back = self._room("ranked", size, n), self._room("back", size, n)
+        np.take(states, order, axis=0, out=ranked, mode="clip")
+        q = self._within(ranked, cuts)
+        loss -= float(self._picked(q, within[order]).sum())
+        q[within[order], places] -= 1
+        g["ww"], g["bw"] = np.zeros_like(p["ww"]), np.zeros_like(p["bw"])
+        for c in range(self.classes):
+            a, b = cuts[c], cuts[c + 1]
+            if b > a:
+                np.matmul(ranked[a:b].T, q[:, a:b].T, out=g["ww"][c])
+                np.matmul(q[:, a:b].T, p["ww"][c].T, out=back[a:b])
+        used = np.flatnonzero(np.diff(cuts))
+        g["bw"][used] = np.add.reduceat(q, np.array(cuts)[used], axis=1).T
+        place = np.empty_like(order)
+        place[order] = places
+        dh += np.take(back, place, axis=0, out=ranked, mode="clip")
+        # Through the steps, last first; what does not depend on the gradient is there for all steps at once.
+        z, r, c = gates
+        to_z, to_r, to_c, one = (self._room(k, size, n) for k in ("to_z", "to_r", "to_c", "back"))
+        np.subtract(1, z, out=one)
+        np.subtract(before, c, out=to_z)
+        to_z *= z
+        to_z *= one
+        np.multiply(c, c, out=to_c)
+        np.subtract(1, to_c, out=to_c)
+        to_c *= one
+        np.subtract(1, r, out=to_r)
+        to_r *= r
+        to_r *= inner
+        dx, du = self._room("dx", size, 3, n), self._room("du", size, 3, n)
+        carry, step = self._room("rest", rows, n), self._room("hu", rows, n)
+        carry[:] = 0
+        across = np.ascontiguousarray(p["u"].transpose(0, 2, 1)).reshape(3 * n, n)
         for t in range(len(x) - 1, -1, -1):
-            before, z, r, c, hu = kept[t]
-            dh = dh_all[t] + carry
-            dc = dh * (1 - z) * (1 - c * c)
-            dx[t, :, :n] = dh * (before - c) * z * (1 - z)
-            dx[t, :, n : 2 * n] = dc * hu * r * (1 - r)
-            dx[t, :, 2 * n :] = dc
-            du[t, :, : 2 * n], du[t, :, 2 * n :] = dx[t, :, : 2 * n], dc * r
-            carry = dh * z + du[t] @ p["u"].T
+            at = slice(t * rows, (t + 1) * rows)
+            d, own, back = dh[at], dx[at], du[at]
+            d += carry
+            np.multiply(d, to_z[at], out=own[:, _UPDATE])
+            new = np.multiply(d, to_c[at], out=to_c[at])
+            own[:, _NEW] = new
+            np.multiply(new, to_r[at], out=own[:, _RESET])
+            back[:, :_NEW] = own[:, :_NEW]
+            np.multiply(new, r[at], out=back[:, _NEW])
+            np.matmul(back.reshape(rows, 3 * n), across, out=step)
+            np.multiply(d, z[at], out=carry)
+            carry += step
         dx, du = dx.reshape(size, 3 * n), du.reshape(size, 3 * n)
-        order = np.argsort(x, axis=None, kind="stable")
-        ids, first = np.unique(x.reshape(-1)[order], return_index=True)
-        g["win"][ids] = np.add.reduceat(dx[order], first)
-        g["b"], g["u"] = dx.sum(0), np.concatenate([k[0] for k in kept]).T @ du
-        return loss, g, h
+        apart = lambda v: v.reshape(-1, 3, n).transpose(1, 0, 2)
+        g["b"], g["u"] = apart(np.ones((1, size), dx.dtype) @ dx).copy(), apart(before.T @ du).copy()
+        where = x.reshape(-1)
+        order = np.argsort(where, kind="stable")
+        ids, begin = np.unique(where[order], return_index=True)
+        g["win"] = np.zeros_like(p["win"])
+        g["win"][:, ids] = apart(np.add.reduceat(np.take(dx, order, axis=0, out=du, mode="clip"), begin, axis=0))
+        for a in g.values():
+            a /= size
+        return loss, g, states[size - rows :].copy()

@@ -12,7 +12,9 @@
 The score adds, for each unknown token, the log10 of (c+1)/(M+D+1): c the word's count, M and D all and distinct
 training tokens outside the vocabulary; so the probabilities of all words add up to 1.  The end of a document is one
 token.  Null or empty texts have the end token alone.  A null id counts as the text "".
-Repeated rows give repeated rows.  Extra columns are ignored.
+Repeated rows give repeated rows.  Extra columns are ignored.  A very long text is scored to its end, its state carried
+through all windows; it is one row, held by one task.  Words of equal count get ranks by their hashes.  An empty table gives
+no rows; without training documents every word is unknown, priced alike.
 """
 
 from __future__ import annotations
@@ -33,6 +35,10 @@ from papertide.llm.words import Chunk, chunks
 UNKNOWN, END = 0, 1
 #: Bytes of text that are hashed at once.
 CHUNK = 500_000
+#: Bytes of text that are scored together; a longer text stands alone.
+GROUP = 16_000_000
+#: Training tokens outside the vocabulary that a shard of the corpus counts looks up, about.
+SHARD = 1 << 20
 _END_HASH = np.uint64(0x8000000000000001)
 
 
@@ -78,11 +84,11 @@ def _score(vocabulary: Vocabulary, model: GatedModel, shards: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield from one(batch)
+            texts = _texts(batch)
+            for a, b in chunks(texts, GROUP):
+                yield from one(texts[a:b], batch.column(0).slice(a, b - a))
 
-    def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts, ids = _texts(batch), batch.column(0)
+    def one(texts: list[bytes], ids: pa.Array) -> Iterator[pa.RecordBatch]:
         held = np.array([is_held_out(i) for i in ids.to_pylist()])
         key = hashlib.md5(b"\0".join([*texts, *(str(i).encode() for i in ids.to_pylist())])).digest()
         n_tokens, n_top = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
@@ -101,7 +107,8 @@ def _score(vocabulary: Vocabulary, model: GatedModel, shards: int):
             sequences += [np.append(v[i:j], small(END)) for i, j in zip(chunk.lo.tolist(), chunk.hi.tolist(), strict=True)]
             rare_h.append(h[~known])
             rare_doc.append(owner[~known] + a)
-        n, scores = len(texts), model.score(sequences)  # all together, so that texts of like length share a batch
+        n, scores = len(texts), model.score(sequences)  # all of a group together, so that texts of like length share windows
+        del sequences
         none, blank = pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32())
         yield pa.RecordBatch.from_arrays([pa.array(["doc"] * n), pa.array([key] * n), blank, pa.array(np.arange(n, dtype=np.int32)), ids, pa.array(held), pa.array(n_tokens), pa.array(n_top), pa.array(top_sum), pa.array(scores), none, none, none, none], names)
         h, doc = np.concatenate(rare_h), np.concatenate(rare_doc).astype(np.uint32)
@@ -212,7 +219,7 @@ def training_streams(rows: DataFrame, words: Vocabulary, shards: int, rounds: in
     train = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) != 2
     key = F.xxhash64("doc_id", "text")
     dealt = rows.where(train).select(F.pmod(key, F.lit(shards * rounds)).cast("int").alias("lot"), key.alias("key"), "text")
-    listed = dealt.mapInArrow(_sequences(words), "lot int, key long, ids binary").repartition(shards * rounds, "lot").sortWithinPartitions("lot", "key", "ids")
+    listed = dealt.mapInArrow(_sequences(words), "lot int, key long, ids binary").repartition("lot").sortWithinPartitions("lot", "key", "ids")
     streams = listed.select("lot", "ids").mapInArrow(_streams(rounds), "shard int, stream binary, round int")
     path = new_folder(rows.sparkSession, "streams")
     streams.write.partitionBy("round").parquet(path)
@@ -227,7 +234,7 @@ def _train(model: GatedModel, rate: float, pieces: int):
         for batch in batches:
             for shard, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 stream = np.append(small(END), np.frombuffer(data.as_buffer(), small))
-                mine = GatedModel(model.n_vocab, model.hidden, p={k: v.copy() for k, v in model.p.items()})
+                mine = GatedModel(model.n_vocab, model.hidden, p=dict(model.p))  # train() works on a copy
                 mine.train(stream, 1, rows=int(np.clip(len(stream) // 1_024, 8, 256)), rate=rate)
                 parts = np.array_split(mine.flat(), pieces)
                 yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array([shard] * pieces, pa.int32()), pa.array([len(stream) - 1] * pieces, pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], ["piece", "shard", "weight", "part"])
@@ -255,9 +262,11 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def trained(rows: DataFrame, words: Vocabulary, train_tokens: int, hidden: int, epochs: int, rounds: int = 4, shard_tokens: int = 1 << 18, pieces: int = 32) -> GatedModel:
     """The model after `epochs` over all training documents of rows (doc_id, text)."""
     model = GatedModel(words.size, hidden)
-    streams = training_streams(rows, words, max(1, -(-train_tokens // (rounds * shard_tokens))), rounds)
+    shards = max(1, -(-train_tokens // (rounds * shard_tokens)))
+    streams = training_streams(rows, words, shards, rounds)
+    tasks = min(shards, 16 * rows.sparkSession.sparkContext.defaultParallelism)
     for k in range(epochs * rounds):
-        each = streams.where(F.col("round") == k % rounds).select("shard", "stream").mapInArrow(_train(model, 0.01 / (1 + k / rounds), pieces), "piece int, shard int, weight long, part binary")
+        each = streams.where(F.col("round") == k % rounds).select("shard", "stream").repartition(tasks).mapInArrow(_train(model, 0.01 / (1 + k / rounds), pieces), "piece int, shard int, weight long, part binary")
         found = each.repartition(pieces, "piece").sortWithinPartitions("piece", "shard").mapInArrow(_average, "piece int, part binary").collect()
         if found:  # a round of a small table may have no documents
             model.set_flat(np.concatenate([np.frombuffer(r.part, np.float32) for r in sorted(found, key=lambda r: r.piece)]))
@@ -279,7 +288,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabul
 
     model = trained(rows, words, total, hidden, epochs)
 
-    shards = 1 << (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+    shards = 1 << (max(int(spark.conf.get("spark.sql.shuffle.partitions")), rest // SHARD) - 1).bit_length()
     schema = f"kind string, batch binary, shard int, idx int, doc_id {kind}, held_out boolean, n_tokens long, n_top long, top_sum double, model double, words binary, docs binary, counts binary, train binary"
     passed = written(rows.mapInArrow(_score(words, model, shards), schema), "scored")
     listed = passed.where("kind = 'words'").select("shard", "batch", "idx", "words", "docs", "counts", "train")
