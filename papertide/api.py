@@ -28,7 +28,7 @@ def assemble(items: DataFrame) -> DataFrame:
     full = docs.join(texts, "doc_id", "left").join(shown, "doc_id", "left")
     locked = F.col("locked") & F.col("shown").isNull()
     code = F.coalesce(F.col("e.code"), F.when(locked, "encrypted"))
-    message = F.coalesce(F.col("e.message"), F.when(locked, "presentation is encrypted (CryptSession10Container)"))
+    message = F.coalesce(F.col("e.message"), F.when(locked, "the presentation is encrypted"))
     return full.select("doc_id", F.when(code.isNull(), F.col("format")).alias("format"), F.when(code.isNull(), F.coalesce("text", F.lit(""))).alias("text"), F.when(code.isNull(), "ok").otherwise("error").alias("status"), code.alias("error_code"), message.alias("error"))
 
 

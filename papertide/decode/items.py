@@ -29,7 +29,7 @@ import zlib
 from collections.abc import Iterator
 
 from papertide.decode import macros, markup, sheets, slides, word
-from papertide.decode.compound import CompoundFile, Damaged
+from papertide.decode.compound import NO_PART, NO_STREAM, CompoundFile, Damaged
 
 Item = tuple[str | None, str, str | None, int | None, int | None, int | None, int | None, str | None, str | None]
 MAIN = {"docx": "word/document.xml", "xlsx": "xl/workbook.xml", "pptx": "ppt/presentation.xml"}
@@ -57,9 +57,7 @@ def decode(content: bytes | None, by_path: bool = False) -> list[Item]:
             return list(_package(data))
         return list(_compound(data))
     except Damaged as e:
-        message = str(e)
-        code = "encrypted" if "encrypted" in message else "unrecognized" if message.startswith(("not an OLE2", "file too small", "no supported", "unrecognized", "not a valid")) else "damaged"
-        return [item(None, "error", a=code, b=message)]
+        return [item(None, "error", a=e.code, b=str(e))]
 
 
 def _payload(package: zipfile.ZipFile, info: zipfile.ZipInfo, whole: bool = False) -> bytes:
@@ -107,11 +105,11 @@ def _package(data: bytes) -> Iterator[Item]:
     try:
         package = zipfile.ZipFile(io.BytesIO(data))
     except _UNREADABLE as e:
-        raise Damaged(f"not a valid ZIP/OOXML package: {e}") from None
+        raise Damaged(f"the archive cannot be opened: {e}", "unrecognized") from None
     infos = {info.filename: info for info in package.infolist()}  # of equal names the last counts
     fmt = next((f for f, main in MAIN.items() if main in infos), None)
     if fmt is None:
-        raise Damaged("unrecognized OOXML package (no Word/Excel/PowerPoint part found)")
+        raise Damaged(NO_PART, "unrecognized")
     base, _, main = MAIN[fmt].partition("/")
     rels = f"{base}/_rels/{main}.rels"
     links = markup.relationships(_payload(package, infos[rels])) if fmt != "docx" and rels in infos else []
@@ -162,7 +160,7 @@ def _compound(data: bytes) -> Iterator[Item]:
     names = file.names()
     fmt = next((f for f, wanted in (("doc", ("WordDocument",)), ("xls", ("Workbook", "Book")), ("ppt", ("PowerPoint Document",))) if any(w in names for w in wanted)), None)
     if fmt is None:
-        raise Damaged(f"no supported document stream found (streams: {', '.join(names)})")
+        raise Damaged(NO_STREAM.format(", ".join(names)), "unrecognized")
     for i, name in enumerate(names):
         yield item(fmt, "part", name, i, a=name)
     if fmt == "doc":

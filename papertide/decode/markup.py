@@ -1,125 +1,177 @@
-"""XML parts of OPC packages, read leniently with expat.
+"""XML parts of OPC packages as streams of events, and what each kind of part yields.
 
-Elements go by local name, prefixes are cut off.  A part that is not well formed is read once more
-with its bare ampersands escaped; if that fails too, what was read up to the error stays.  Entity declarations
-end the reading.
+`read` gives a part's events to a taker: expat's as long as the part is well formed.  If it is not, the taker starts again
+with the events of `tolerant`, which follows the rules of a non-strict reader: unknown entities and bare ampersands stay as
+text, attributes may lack quotes or a value, and an end tag closes all elements up to the one it names.  An end tag that names
+no open element, a cut tag, or an entity declaration ends the part; what was read until then stays.
+
+Elements go by local name, prefixes are cut off.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 from xml.parsers import expat
 
-# Core properties that people write, and page heading elements.
-PROPERTIES = {"title", "subject", "creator", "keywords", "description", "lastModifiedBy", "category", "contentStatus"}
-HEADINGS = {"oddHeader", "oddFooter", "evenHeader", "evenFooter", "firstHeader", "firstFooter"}
+# Core properties that people write, page heading elements, and elements that stand for white space.
+PROPERTIES = ("title", "subject", "creator", "keywords", "description", "lastModifiedBy", "category", "contentStatus")
+HEADINGS = ("oddHeader", "oddFooter", "evenHeader", "evenFooter", "firstHeader", "firstFooter")
+SPACES = {"tab": "\t", "br": "\n", "cr": "\n"}
+ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+
+OPEN, CLOSE, TEXT = range(3)
+Event = tuple[int, str, dict[str, str]]
 
-_BARE = re.compile(rb"(<!\[CDATA\[.*?\]\]>)|&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9A-Fa-f]+);)", re.S)
 _BLANK = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+_BLOCK = 1 << 18
+_MARK = re.compile(
+    r"<!\[CDATA\[(?P<raw>.*?)\]\]>|<!--.*?-->|<\?.*?\?>|<!(?P<declared>[^<>\[]*(?:\[.*?\])?[^<>\[]*)>|</\s*(?P<shut>[^\s<>/]+)\s*>"
+    r"""|<(?P<begun>[^\s<>/!?="']+)(?P<attributes>(?:[^>"']|"[^"]*"|'[^']*')*?)(?P<whole>/?)>|(?P<words>[^<]+)""",
+    re.S,
+)
+_ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'/>]*)))?""")
+_ENTITY = re.compile(r"&(?:#x([0-9A-Fa-f]{1,6})|#([0-9]{1,7})|([a-z]+));")
 
 
-class _Stop(Exception):
+class Malformed(ValueError):
     pass
 
 
-class Handler:
-    """start(name, attributes with prefixes), end(name) and text(data) in document order."""
+class _Declared(Exception):
+    pass
+
 
-    def start(self, name: str, attrs: dict[str, str]) -> None: ...
-    def end(self, name: str) -> None: ...
-    def text(self, data: str) -> None: ...
+def _local(name: str) -> str:
+    return name.rpartition(":")[2]
 
 
-def _feed(payload: bytes, handler: Handler) -> bool:
+def strict(payload: bytes) -> Iterator[Event]:
+    """Events of a well-formed part, a block at a time."""
+    held: list[Event] = []
     parser = expat.ParserCreate()
     parser.buffer_text = True
-    local = lambda name: name.rpartition(":")[2]
-    parser.StartElementHandler = lambda name, attrs: handler.start(local(name), attrs)
-    parser.EndElementHandler = lambda name: handler.end(local(name))
-    parser.CharacterDataHandler = handler.text
+    parser.StartElementHandler = lambda name, attributes: held.append((OPEN, _local(name), attributes))
+    parser.EndElementHandler = lambda name: held.append((CLOSE, _local(name), {}))
+    parser.CharacterDataHandler = lambda data: held.append((TEXT, data, {}))
+
+    def declared(*_) -> None:
+        raise _Declared
+
+    parser.EntityDeclHandler = declared
+    for at in range(0, len(payload) + 1, _BLOCK):
+        block, ended = payload[at : at + _BLOCK], False
+        try:
+            parser.Parse(block, at + _BLOCK > len(payload))
+        except expat.ExpatError as e:
+            raise Malformed(str(e)) from None
+        except (_Declared, LookupError):
+            ended = True
+        yield from held
+        held.clear()
+        if ended:
+            return
+
 
-    def refuse(*_) -> None:
-        raise _Stop
+def _resolved(text: str) -> str:
+    def one(m: re.Match) -> str:
+        if m[3]:
+            return ENTITIES.get(m[3], m[0])
+        code = int(m[1], 16) if m[1] else int(m[2])
+        return chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else m[0]
 
-    parser.EntityDeclHandler = refuse
+    return _ENTITY.sub(one, text) if "&" in text else text
+
+
+def tolerant(payload: bytes) -> Iterator[Event]:
+    """Events of a part that is not well formed, up to what cannot be read."""
     try:
-        parser.Parse(payload, True)
-    except (expat.ExpatError, _Stop, LookupError):
-        return False
-    return True
+        text = payload.decode("utf-8-sig")
+    except UnicodeDecodeError as e:
+        text = payload[: e.start].decode("utf-8-sig")
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    path: list[str] = []
+    at = 0
+    while m := _MARK.match(text, at):
+        at = m.end()
+        if m["words"] is not None or m["raw"] is not None:
+            yield TEXT, m["raw"] if m["words"] is None else _resolved(m["words"]), {}
+        elif m["begun"]:
+            pairs = ((a[1], next((v for v in a.groups()[1:] if v is not None), _local(a[1]))) for a in _ATTRIBUTE.finditer(m["attributes"]))
+            yield OPEN, _local(m["begun"]), {name: _resolved(value) for name, value in pairs}
+            path.append(_local(m["begun"]))
+            if m["whole"]:
+                yield CLOSE, path.pop(), {}
+        elif m["shut"]:
+            wanted, closed = _local(m["shut"]), None
+            while path and closed != wanted:
+                closed = path.pop()
+                yield CLOSE, closed, {}
+            if closed != wanted:
+                return
+        elif m["declared"] and "<!ENTITY" in m["declared"]:
+            return
 
 
-def read(payload: bytes, make: Callable[[], Handler]) -> Handler:
-    handler = make()
-    if not _feed(payload, handler):
-        escaped = _BARE.sub(lambda m: m[1] or b"&amp;", payload)
-        if escaped != payload:
-            handler = make()
-            _feed(escaped, handler)
-    return handler
+def read[T](payload: bytes, take: Callable[[Iterator[Event]], T]) -> T:
+    try:
+        return take(strict(payload))
+    except Malformed:
+        return take(tolerant(payload))
 
 
-class RunningText(Handler):
-    def __init__(self, wanted: set[str]):
-        self.wanted, self.out, self.depth, self.inside, self.skipped = wanted, [], 0, 0, 0
+def _placed(events: Iterator[Event]) -> Iterator[tuple[int, str, dict[str, str], Counter]]:
+    """Each event with the number of open elements of each name: an element counts from its start to its end, both included."""
+    inside: Counter[str] = Counter()
+    for kind, name, attributes in events:
+        if kind == OPEN:
+            inside[name] += 1
+        yield kind, name, attributes, inside
+        if kind == CLOSE:
+            inside[name] -= 1
 
-    def start(self, name: str, attrs: dict[str, str]) -> None:
-        self.depth += 1
-        if self.skipped:
-            return
-        if name == "Fallback":
-            self.skipped = self.depth
-        elif name in self.wanted:
-            self.inside = self.inside or self.depth
-        elif name == "tab":
-            self.out.append("\t")
-        elif name in ("br", "cr"):
-            self.out.append("\n")
-
-    def end(self, name: str) -> None:
-        if self.skipped:
-            if self.skipped == self.depth:
-                self.skipped = 0
-        else:
-            if self.inside == self.depth:
-                self.inside = 0
-            if name == "p" and not self.inside:
-                self.out.append("\n")
-        self.depth -= 1
-
-    def text(self, data: str) -> None:
-        if self.inside and not self.skipped:
-            self.out.append(data)
 
+def _any(inside: Counter, names: tuple[str, ...]) -> bool:
+    return any(inside[name] for name in names)
 
-def running_text(payload: bytes, *more: str) -> str:
-    return "".join(read(payload, lambda: RunningText({"t", *more})).out).strip("\n")
 
+def running_text(payload: bytes, *more: str) -> str:
+    """Text of `t` and further elements; white space elements count anywhere, the ends of paragraphs outside of text; fallbacks do not."""
+    holders = ("t", *more)
 
-class Starts(Handler):
-    def __init__(self, name: str):
-        self.name, self.found = name, []
+    def pieces(events: Iterator[Event]) -> Iterator[str]:
+        for kind, name, _, inside in _placed(events):
+            if inside["Fallback"]:
+                continue
+            if kind == TEXT:
+                if _any(inside, holders):
+                    yield name
+            elif kind == OPEN:
+                if name in SPACES and name not in holders:
+                    yield SPACES[name]
+            elif name == "p" and not _any(inside, holders):
+                yield "\n"
 
-    def start(self, name: str, attrs: dict[str, str]) -> None:
-        if name == self.name:
-            self.found.append(attrs)
+    return read(payload, lambda events: "".join(pieces(events))).strip("\n")
 
 
-def _starts(payload: bytes, name: str) -> list[dict[str, str]]:
-    return read(payload, lambda: Starts(name)).found
+def _starts(payload: bytes, wanted: str) -> list[dict[str, str]]:
+    return read(payload, lambda events: [attributes for kind, name, attributes in events if kind == OPEN and name == wanted])
 
 
-def _local(attrs: dict[str, str], name: str) -> str:
-    return next((v for k, v in reversed(attrs.items()) if k.rpartition(":")[2] == name), "")
+def _attribute(attributes: dict[str, str], name: str) -> str:
+    """Of equal local names the last."""
+    return {_local(k): v for k, v in attributes.items()}.get(name, "")
 
 
-def _rel_id(attrs: dict[str, str]) -> str:
-    return next((v for k, v in attrs.items() if ":" in k and k.rpartition(":")[2] == "id"), "")
+def _rel_id(attributes: dict[str, str]) -> str:
+    """The id that has a prefix; a bare one is another attribute."""
+    return next((v for k, v in attributes.items() if ":" in k and _local(k) == "id"), "")
 
 
 def relationships(payload: bytes) -> list[tuple[str, str]]:
-    pairs = [(_local(a, "Id"), _local(a, "Target")) for a in _starts(payload, "Relationship")]
+    pairs = [(_attribute(a, "Id"), _attribute(a, "Target")) for a in _starts(payload, "Relationship")]
     return [p for p in pairs if all(p)]
 
 
@@ -128,93 +180,64 @@ def slide_ids(payload: bytes) -> list[str]:
 
 
 def sheet_ids(payload: bytes) -> list[tuple[str, str]]:
-    return [(_local(a, "name"), _rel_id(a)) for a in _starts(payload, "sheet")]
-
-
-class SharedStrings(Handler):
-    def __init__(self) -> None:
-        self.found, self.now, self.item, self.run, self.phonetic = [], [], False, False, 0
-
-    def start(self, name: str, attrs: dict[str, str]) -> None:
-        if name == "si":
-            self.now, self.item, self.run, self.phonetic = [], True, False, 0
-        elif name == "rPh":
-            self.phonetic += 1
-        elif name == "t":
-            self.run = True
+    return [(_attribute(a, "name"), _rel_id(a)) for a in _starts(payload, "sheet")]
 
-    def end(self, name: str) -> None:
-        if name == "t":
-            self.run = False
-        elif name == "rPh":
-            self.phonetic = max(0, self.phonetic - 1)
-        elif name == "si":
-            self.item = False
-            self.found.append("".join(self.now))
 
-    def text(self, data: str) -> None:
-        if self.item and self.run and not self.phonetic:
-            self.now.append(data)
+def _texts_of(events: Iterator[Event], element: str, holder: str, but: str) -> Iterator[str]:
+    """For each closed element the joined text of its holders."""
+    held: list[str] = []
+    for kind, name, _, inside in _placed(events):
+        if kind == TEXT and inside[element] and inside[holder] and not inside[but]:
+            held.append(name)
+        elif kind != TEXT and name == element:
+            if kind == CLOSE:
+                yield "".join(held)
+            held = []
 
 
 def shared_strings(payload: bytes) -> list[str]:
-    return read(payload, SharedStrings).found
-
-
-class Grid(Handler):
-    """cells: (row, cell, type, raw text) of closed rows; headings: raw texts."""
-
-    def __init__(self) -> None:
-        self.cells, self.headings, self.row, self.n_rows = [], [], [], 0
-        self.kind, self.raw, self.inside, self.head, self.heading = "", [], False, [], False
-
-    def start(self, name: str, attrs: dict[str, str]) -> None:
-        if name == "row":
-            self.row = []
-        elif name == "c":
-            self.kind, self.raw = _local(attrs, "t"), []
-        elif name in ("v", "t"):
-            self.inside = True
-        elif name in HEADINGS:
-            self.heading, self.head = True, []
-
-    def end(self, name: str) -> None:
-        if name in ("v", "t"):
-            self.inside = False
-        elif name == "c":
-            self.row.append((self.kind, "".join(self.raw)))
-        elif name == "row":
-            self.cells += [(self.n_rows, i, kind, raw) for i, (kind, raw) in enumerate(self.row)]
-            self.n_rows += 1
-        elif name in HEADINGS:
-            self.heading = False
-            self.headings.append("".join(self.head))
-
-    def text(self, data: str) -> None:
-        if self.inside:
-            self.raw.append(data)
-        elif self.heading:
-            self.head.append(data)
+    """Phonetic runs are left out."""
+    return read(payload, lambda events: list(_texts_of(events, "si", "t", "rPh")))
+
+
+class Grid:
+    """cells: (row, cell, type, raw text) of closed rows; headings: raw texts.
+
+    Every closed row, cell and heading is a scope that takes up what stands in it: text goes to the heading or the cell, cells to the row.
+    """
+
+    def __init__(self, events: Iterator[Event]):
+        self.cells: list[tuple[int, int, str, str]] = []
+        self.headings: list[str] = []
+        row: list[tuple[str, str]] = []
+        kind_of_cell, words, n_rows = "", [], 0
+        for kind, name, attributes, inside in _placed(events):
+            if kind == TEXT:
+                if _any(inside, ("v", "t")) or _any(inside, HEADINGS):
+                    words.append(name)
+                continue
+            if name == "c":
+                if kind == OPEN:
+                    kind_of_cell = _attribute(attributes, "t")
+                else:
+                    row.append((kind_of_cell, "".join(words)))
+                words = []
+            elif name == "row":
+                if kind == CLOSE:
+                    self.cells += [(n_rows, k, *c) for k, c in enumerate(row)]
+                    n_rows += 1
+                row = []
+            elif name in HEADINGS:
+                if kind == CLOSE:
+                    self.headings.append("".join(words))
+                words = []
 
 
 def grid(payload: bytes) -> Grid:
     return read(payload, Grid)
 
 
-class Properties(Handler):
-    def __init__(self) -> None:
-        self.found, self.inside = [], False
-
-    def start(self, name: str, attrs: dict[str, str]) -> None:
-        self.inside = self.inside or name in PROPERTIES
-
-    def end(self, name: str) -> None:
-        self.inside = self.inside and name not in PROPERTIES
-
-    def text(self, data: str) -> None:
-        if self.inside and data.strip(_BLANK):
-            self.found.append(data.strip(_BLANK))
-
-
 def properties(payload: bytes) -> list[str]:
-    return read(payload, Properties).found
+    """Each run of text in a property."""
+    found = lambda events: [name.strip(_BLANK) for kind, name, _, inside in _placed(events) if kind == TEXT and _any(inside, PROPERTIES)]
+    return [text for text in read(payload, found) if text]

@@ -90,6 +90,70 @@ def test_markup_is_lenient():
     assert markup.running_text(b"<a:p><dgm:t><a:p><a:t>x</a:t></a:p></dgm:t><dgm:t>y</dgm:t></a:p>") == "xy"
 
 
+@pytest.mark.parametrize(
+    ("part", "text"),
+    [
+        (b"<d><p><b><t>one</p><p><t>two</t></p></d>", "one\ntwo"),  # missing ends are made up
+        (b"<d><p><t>one</t></q></p><p><t>two</t></p></d>", "one"),  # an end of nothing ends the part
+        (b"<d a=1 b><p c='<'><t x=y>one</t></p></d>", "one"),
+        (b"<d><p><t>1 < 2</t></p></d>", "1"),
+        (b"<d><p><t>&#65;&#x42;&#0;&amp;&nbsp;&lt; & so</t><br/><t>x</t></p></d>", "AB&#0;&&nbsp;< & so\nx"),
+        (b"<d><p><t>one</t><!-- <t>no</t> --><t><![CDATA[<two>&amp;]]></t></x:p><p><t>cut", "one<two>&amp;\ncut"),
+        (b"<d><p><t>one &</t></p><mc:Fallback><p><t>no</t></p></mc:Fallback><p><t>a\r\nb</t></p>", "one &\na\nb"),
+        (b"<d><p><t>good & \xff bad</t></p></d>", "good &"),
+    ],
+)
+def test_parts_that_are_not_well_formed(part, text):
+    assert markup.running_text(part).rstrip() == text
+
+
+def test_events_of_both_readers_agree():
+    r = random.Random(5)
+
+    def element(depth):
+        name = r.choice(["p", "t", "w:r", "c", "v", "row", "Fallback", "tab"])
+        inner = "".join(element(depth + 1) if r.random() < 0.6 and depth < 5 else r.choice(["", "a b", "&amp;", "&#x41;", "<![CDATA[<x>]]>", "<!-- - -->"]) for _ in range(r.randint(0, 4)))
+        return f"<{name} t=\"s&lt;\" r:id='1'>{inner}</{name}>" if inner else f"<{name}/>"
+
+    for _ in range(200):
+        part = f"<d>{element(0)}</d>".encode()
+        joined = lambda events: [(k, n if k == markup.TEXT else (n, tuple(sorted(a.items())))) for k, n, a in events]
+        flat = lambda events: "".join(str(x) if k != markup.TEXT else x for k, x in joined(events))
+        assert flat(markup.strict(part)) == flat(markup.tolerant(part))
+        assert markup.running_text(part) == markup.running_text(part + b"\n")
+
+
+def test_grid_and_strings_of_broken_parts():
+    found = markup.grid(b"<s><row><c t=s><v>1</v></c><c><v>&x;</row><row><c><is><t>in</t></is></c></row><row><c><v>open")
+    assert found.cells == [(0, 0, "s", "1"), (0, 1, "", "&x;"), (1, 0, "", "in")]
+    assert markup.shared_strings(b"<sst><si><t>a & b</t><rPh><t>no</t></rPh></si><si><r><t>c</t></r><r><t>d</t></r></si><si><t>cut") == ["a & b", "cd"]
+    assert markup.properties(b"<p><dc:title> A & B </dc:title><revision>1</revision><dc:creator>me</dc:creator>") == ["A & B", "me"]
+
+
+@pytest.mark.parametrize("gap", [b"", bytes(4)])
+def test_modules_of_a_project(gap):
+    record = lambda kind, data: struct.pack("<HI", kind, len(data)) + data
+    body = record(0x0F, b"\2\0")
+    for k, name in enumerate(["One", "Zwé"]):
+        body += record(0x19, b"old") + record(0x47, name.encode("utf-16-le")) + record(0x1A, b"s%d" % k) + record(0x32, b"") + record(0x31, struct.pack("<I", k)) + record(0x2B, b"") + gap
+    assert [(m.name, m.stream, m.offset) for m in macros.module_table(b"junk" + body + record(0x10, b""))] == [("One", "s0", 0), ("Zwé", "s1", 1)]
+    assert [m.name for m in macros.module_table(body[:-7])] == ["One", "Zwé"]
+    assert macros.module_table(b"none") == []
+
+
+def test_hyperlinks():
+    counted = lambda s: struct.pack("<I", len(s) + 1) + (s + "\0").encode("utf-16-le")
+    url = "http://x\0".encode("utf-16-le")
+    moniker = bytes.fromhex("E0C9EA79F9BACE118C8200AA004BA90B") + struct.pack("<I", len(url)) + url
+    link = lambda flags, body: next(sheets._hyperlink(bytes(28) + struct.pack("<I", flags) + body, [], False))[2]
+    assert link(0x1, moniker) == "http://x"
+    assert link(0x1 | 0x8 | 0x10 | 0x80, counted("shown") + counted("frame") + moniker + counted("A1")) == "http://x#A1"
+    assert link(0x101, counted("c:\\f")) == "c:\\f"
+    assert link(0x8, counted("A1")) == "A1"
+    assert link(0x1 | 0x8, bytes(16) + counted("B2")) == "B2"  # another moniker
+    assert link(0x8, struct.pack("<I", 99) + b"ab") == "" and link(0x1, b"") == ""
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_damage_never_raises(seed):
     r = random.Random(seed)

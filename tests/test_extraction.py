@@ -8,18 +8,19 @@ from papertide.fixtures import legacy as old
 from papertide.fixtures import packages as new
 from papertide.functions import text as T
 
-SHEET = new.sheet_part([[new.cell("grid cell")]])
-MACRO = 'Attribute VB_Name = "Module1"\r\nSub Hello()\r\n    MsgBox "Hello from a macro"\r\nEnd Sub\r\n'
+SHEET = new.sheet_part([[new.cell("onions"), new.cell("4")], [new.cell("leeks"), new.cell("12")]])
+ROWS = "=== Sheet: Stall ===\nonions\t4\nleeks\t12\n"
+SOURCE = "Option Explicit\r\nFunction Twice(n)\r\n  Twice = 2 * n ' doubled\r\nEnd Function\r\n"
 CASES = {
-    "docx chart": (new.docx_bytes("Body text", {"word/charts/chart1.xml": new.drawing_part("Chart Title Text")}), "Body text\n=== Chart ===\nChart Title Text\n"),
-    "docx diagram": (new.docx_bytes("Body text", {"word/diagrams/data1.xml": f"<d {new.A}><dgm:t><a:p><a:r><a:t>SmartArt Node</a:t></a:r></a:p></dgm:t></d>"}), "Body text\n=== Chart ===\nSmartArt Node\n"),
-    "pptx order": (new.pptx_bytes(["First slide body", "Second slide body"], [1, 0]), "Second slide body\nFirst slide body\n"),
-    "pptx comment": (new.pptx_bytes(["Slide body."], [0], {"ppt/comments/comment1.xml": "<c><p:text>A slide comment.</p:text></c>"}), "Slide body.\n=== Comments ===\nA slide comment.\n"),
-    "xlsx phonetic": (new.xlsx_bytes([("S", new.sheet_part([[new.cell("0", "s")]]))], ["Name"]), "=== Sheet: S ===\nName\n"),
-    "xlsx threaded": (new.xlsx_bytes([("S", new.sheet_part([[new.cell("cell")]]))], more={"xl/threadedComments/threadedComment1.xml": "<T><text>A threaded comment.</text></T>"}), "=== Sheet: S ===\ncell\n\n=== Comments ===\nA threaded comment.\n"),
-    "xlsx drawing": (new.xlsx_bytes([("S", SHEET)], more={"xl/drawings/drawing1.xml": new.drawing_part("Shape on the grid.")}), "=== Sheet: S ===\ngrid cell\n\n=== Shapes ===\nShape on the grid.\n"),
-    "xlsx headings": (new.xlsx_bytes([("S", new.sheet_part([[new.cell("grid cell")]], '<headerFooter><oddHeader>&LLeftHead&C&"Arial,Bold"CenterHead&R&14RightHead</oddHeader><oddFooter>&CConfidential</oddFooter></headerFooter>'))]), "=== Sheet: S ===\ngrid cell\nLeftHead CenterHead RightHead\nConfidential\n"),
-    "xlsx macros": (new.xlsx_bytes([("S", new.sheet_part([[new.cell("cell text")]]))], more={"xl/vbaProject.bin": new.macro_part([("Module1", MACRO)])}), "=== Sheet: S ===\ncell text\n\n=== Macros ===\n=== VBA Module: Module1 ===\n" + MACRO.replace("\r\n", "\n")),
+    "docx charts": (new.docx_bytes("Harvest\nof the year", {f"word/charts/chart{n}.xml": new.drawing_part(f"Axis {n}") for n in (10, 2)}), "Harvest\nof the year\n=== Chart ===\nAxis 2\n=== Chart ===\nAxis 10\n"),
+    "docx diagram": (new.docx_bytes("Who does what", {"word/diagrams/data3.xml": f"<d {new.A}><dgm:t><a:p><a:r><a:t>sow</a:t></a:r></a:p></dgm:t><dgm:t><a:p><a:r><a:t>reap</a:t></a:r></a:p></dgm:t></d>"}), "Who does what\n=== Chart ===\nsowreap\n"),
+    "pptx order": (new.pptx_bytes(["alpha", "beta\nbeta two", "gamma"], [2, 0, 1]), "gamma\nalpha\nbeta\nbeta two\n"),
+    "pptx comment": (new.pptx_bytes(["A plan"], [0], {"ppt/comments/comment7.xml": "<l><p:text>too long</p:text><p:text>by half</p:text></l>"}), "A plan\n=== Comments ===\ntoo longby half\n"),
+    "xlsx phonetic": (new.xlsx_bytes([("Stall", new.sheet_part([[new.cell("1", "s"), new.cell("0", "s")]]))], ["葱", "玉葱"]), "=== Sheet: Stall ===\n玉葱\t葱\n"),
+    "xlsx remarks": (new.xlsx_bytes([("Stall", SHEET)], more={"xl/threadedComments/threadedComment2.xml": "<l><text>weigh again</text></l>", "xl/comments1.xml": "<l><t>fresh?</t></l>"}), ROWS + "\n=== Comments ===\nfresh?\n\n=== Comments ===\nweigh again\n"),
+    "xlsx drawing": (new.xlsx_bytes([("Stall", SHEET)], more={"xl/drawings/drawing4.xml": new.drawing_part("see overleaf")}), ROWS + "\n=== Shapes ===\nsee overleaf\n"),
+    "xlsx headings": (new.xlsx_bytes([("Stall", new.sheet_part([[new.cell("x")]], '<headerFooter><oddHeader>&LMay&C&"Mono,Italic"Prices&R&9today</oddHeader><evenHeader>&CPage &P</evenHeader><oddFooter>&RNo refunds</oddFooter></headerFooter>'))]), "=== Sheet: Stall ===\nx\nMay Prices today\nPage\nNo refunds\n"),
+    "xlsx macros": (new.xlsx_bytes([("Stall", SHEET)], more={"xl/vbaProject.bin": new.macro_part([("Sums", SOURCE), ("More", "x = 1\r\n")])}), ROWS + "\n=== Macros ===\n=== VBA Module: Sums ===\n" + SOURCE.replace("\r\n", "\n") + "=== VBA Module: More ===\nx = 1\n"),
     "xlsx fallback": (new.xlsx_bytes([("x", new.sheet_part([[new.cell("one")]])), ("y", "<worksheet/>")], linked=False), "=== Sheet: Sheet1 ===\none\n\n=== Sheet: Sheet2 ===\n"),
     "doc": (old.doc_bytes([("a\x13 F \x14b\x15\r", True), ("日\x13 open \x15 lost", False)], [("M", "x")]), "ab\n日\n=== VBA Module: M ===\nx\n"),
     "ppt": (old.ppt_bytes([("a\rb", True), (" ", True), ("日", False)]), "a\nb\n日\n"),
