@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from papertide.functions.text import clean_slide, is_blank
 from papertide.plans.sections import LEGACY, PACKAGES, legacy, packages
-from papertide.sources.files import decoded, read_files
+from papertide.sources.files import decoded, read_files, written
 
 
 class ExtractionError(RuntimeError):
@@ -39,6 +39,7 @@ def extract(files: DataFrame, id_col: str = "doc_id", content_col: str = "conten
     """
     out = assemble(decoded(files, id_col, content_col, by_path))
     if mode.upper() == "FAILFAST":
+        out = written(out, "extracted")  # so that looking for failures is not a second extraction
         bad = out.where("status = 'error'").select("doc_id", "error").first()
         if bad:
             raise ExtractionError(f"{bad.doc_id}: {bad.error}")
@@ -57,7 +58,8 @@ def extract_files(spark: SparkSession, path: str, pattern: str | None = None, mo
 
 def report(extracted: DataFrame, id_col: str = "path") -> DataFrame:
     """(id, output, message): what a command line would print for each file; headers only if there are several."""
-    several = extracted.count() > 1
+    extracted = written(extracted, "report")
+    several = extracted.limit(2).count() > 1
     text = F.col("text") if not several else F.concat(F.lit("==> "), F.col(id_col).cast("string"), F.lit(" <==\n"), "text", F.lit("\n"))
     ok = F.col("status") == "ok"
     return extracted.select(id_col, F.when(ok, text).otherwise("").alias("output"), F.when(~ok, F.concat(F.col(id_col).cast("string"), F.lit(": "), "error")).alias("message"))

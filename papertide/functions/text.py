@@ -69,8 +69,18 @@ def clean_document(c: Column) -> Column:
     return F.regexp_replace(marked, r"[\x00-\x08\x0E-\x1F]", "")
 
 
+_DOUBLED = "\uFFFE\uFDD0"  # stands for a doubled ampersand; text that holds it goes token by token
+
+
 def strip_heading_codes(c: Column) -> Column:
     """Page headings without format codes; sections become blanks, doubled ampersands single."""
+    marked = F.replace(c, F.lit("&&"), F.lit(_DOUBLED))
+    bare = F.regexp_replace(marked, r'(?s)&"[^"]*(?:"|\z)|&[0-9]+|&K[0-9A-Fa-f]{0,6}|&[^LCR]|&\z', "")
+    whole = F.replace(F.regexp_replace(bare, "&[LCR]", " "), F.lit(_DOUBLED), F.lit("&"))
+    return F.when(~c.contains("&"), trim_blank(c)).when(c.contains(_DOUBLED), _strip_by_token(c)).otherwise(trim_blank(whole))
+
+
+def _strip_by_token(c: Column) -> Column:
     tokens = F.regexp_extract_all(c, F.lit(r'(?s)(&&|&"[^"]*(?:"|\z)|&[0-9]+|&[LCR]|&K[0-9A-Fa-f]{0,6}|&.|&\z|[^&]+)'), F.lit(1))
     shown = F.transform(tokens, lambda t: F.when(t == "&&", "&").when(t.isin("&L", "&C", "&R"), " ").when(t.startswith("&"), "").otherwise(t))
     return trim_blank(F.array_join(shown, ""))

@@ -6,11 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def joined(text: Column | str, separator: str, *order: str) -> Column:
-    """An aggregate: the texts in the order of the given columns, joined."""
+def in_order(text: Column | str, *order: str) -> Column:
+    """An aggregate: an array of the texts in the order of the given columns."""
     value = F.col(text) if isinstance(text, str) else text
     pairs = F.array_sort(F.collect_list(F.struct(*order, value.alias("__text"))))
-    return F.array_join(F.transform(pairs, lambda p: p["__text"]), separator)
+    return F.transform(pairs, lambda p: p["__text"])
+
+
+def joined(text: Column | str, separator: str, *order: str) -> Column:
+    """An aggregate: the texts in the order of the given columns, joined."""
+    return F.array_join(in_order(text, *order), separator)
 
 
 def keep_first(df: DataFrame, keys: list[str], *order: str) -> DataFrame:

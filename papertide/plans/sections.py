@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papertide.functions.text import clean_aux, clean_document, clean_slide, is_blank, normalize_source, resolve_target, rtrim_lines, strip_heading_codes
-from papertide.operators.lines import joined, keep_first, keep_last
+from papertide.operators.lines import in_order, joined, keep_first, keep_last
 
 SECTION = ["doc_id", "sec_ord", "sub_ord", "name", "text"]
 
@@ -139,16 +139,23 @@ def workbook_items(items: DataFrame) -> DataFrame:
     waiting = F.struct(F.last(F.when(F.col("kind") == "pending", F.struct("i", "n")), True).over(w).alias("p"), F.last(F.when(F.col("kind") == "result", F.col("i")), True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("r"))
     walked = walked.withColumn("w", waiting)
 
-    names = biff.where("kind = 'name'").withColumn("sheet", F.row_number().over(Window.partitionBy("doc_id").orderBy("i"))).select("doc_id", "sheet", F.col("text").alias("title"))
+    names = biff.where("kind = 'name'").withColumn("sheet", F.row_number().over(Window.partitionBy("doc_id").orderBy("i"))).select("doc_id", F.col("sheet").alias("titled"), F.col("text").alias("title"))
     strings = biff.where("kind = 'string'").withColumn("idx", (F.row_number().over(Window.partitionBy("doc_id").orderBy("i", "j")) - 1).cast("long")).select("doc_id", "idx", F.col("text").alias("value"))
-    sheets = walked.where(begins & (F.col("n") == 2)).join(names, ["doc_id", "sheet"], "left").select("doc_id", "i", "j", F.lit("sheet").alias("kind"), F.lit(None).cast("long").alias("row"), "sheet", F.concat(F.lit("=== Sheet: "), F.coalesce("title", F.lit("")), F.lit(" ===")).alias("text"))
-    place = ["doc_id", "i", "j", "kind", "row", "sheet", "text"]
-    cells = walked.where("kind = 'cell'").select("doc_id", "i", "j", "kind", F.col("n").alias("row"), "sheet", "text")
-    looked = walked.where("kind = 'shared'").withColumn("idx", F.col("text").cast("long")).join(strings, ["doc_id", "idx"]).select("doc_id", "i", "j", F.lit("cell").alias("kind"), F.col("n").alias("row"), "sheet", F.col("value").alias("text"))
-    results = walked.where("kind = 'result' and w.p is not null and (w.r is null or w.p.i > w.r)").select("doc_id", "i", "j", F.lit("cell").alias("kind"), F.col("w.p.n").alias("row"), "sheet", "text")
-    aux = walked.where("kind in ('aux', 'heading')").withColumn("text", clean_aux(F.when(F.col("kind") == "heading", strip_heading_codes(F.col("text"))).otherwise(F.col("text")))).where(~is_blank(F.col("text")))
-    aux = aux.select("doc_id", "i", "j", F.lit("aux").alias("kind"), F.lit(None).cast("long").alias("row"), "sheet", "text")
-    return reduce(DataFrame.unionByName, [sheets.select(place), cells.where("text <> ''"), looked.where("text <> ''"), results.where("text <> ''"), aux])
+    # One pass: what is not shown goes, then titles and shared strings are looked up by keys that only their rows have.
+    titled, answered = begins & (F.col("n") == 2), (F.col("kind") == "result") & F.col("w.p").isNotNull() & (F.col("w.r").isNull() | (F.col("w.p.i") > F.col("w.r")))
+    shown = walked.where(titled | answered | F.col("kind").isin("cell", "shared", "aux", "heading"))
+    shown = shown.withColumn("titled", F.when(titled, F.col("sheet").cast("int"))).withColumn("idx", F.when(F.col("kind") == "shared", F.col("text").cast("long")))
+    found = shown.join(names, ["doc_id", "titled"], "left").join(strings, ["doc_id", "idx"], "left")
+    aside = F.col("kind").isin("aux", "heading")
+    text = (
+        F.when(F.col("kind") == "bof", F.concat(F.lit("=== Sheet: "), F.coalesce("title", F.lit("")), F.lit(" ===")))
+        .when(F.col("kind") == "shared", F.col("value"))
+        .when(aside, clean_aux(F.when(F.col("kind") == "heading", strip_heading_codes(F.col("text"))).otherwise(F.col("text"))))
+        .otherwise(F.col("text"))
+    )
+    row = F.when(F.col("kind") == "result", F.col("w.p.n")).when(F.col("kind").isin("cell", "shared"), F.col("n"))
+    kind = F.when(F.col("kind") == "bof", "sheet").when(aside, "aux").otherwise("cell")
+    return found.select("doc_id", "i", "j", kind.alias("kind"), row.alias("row"), "sheet", text.alias("text")).where((F.col("kind") == "sheet") | F.when(F.col("kind") == "aux", ~is_blank(F.col("text"))).otherwise(F.col("text") != ""))
 
 
 def xls(items: DataFrame) -> DataFrame:
@@ -175,8 +182,9 @@ def packages(items: DataFrame, formats: set[str]) -> DataFrame:
     """(doc_id, text) of ZIP packages: sections in order; those of workbooks have a blank line between."""
     sections = reduce(DataFrame.unionByName, [plan(items) for name, plan in PACKAGES.items() if name in formats] + [extras(items)])
     books = items.where("kind = 'part' and format = 'xlsx'").select("doc_id").distinct().withColumn("book", F.lit(True))
-    texts = sections.groupBy("doc_id").agg(joined("text", "\n", "sec_ord", "sub_ord", "name").alias("one"), joined("text", "\n\n", "sec_ord", "sub_ord", "name").alias("two"))
-    return texts.join(books, "doc_id", "left").select("doc_id", F.concat(F.when(F.col("book"), F.col("two")).otherwise(F.col("one")), F.lit("\n")).alias("text"))
+    texts = sections.groupBy("doc_id").agg(in_order("text", "sec_ord", "sub_ord", "name").alias("texts"))
+    text = F.when(F.col("book"), F.array_join("texts", "\n\n")).otherwise(F.array_join("texts", "\n"))
+    return texts.join(books, "doc_id", "left").select("doc_id", F.concat(text, F.lit("\n")).alias("text"))
 
 
 PACKAGES = {"docx": docx, "pptx": pptx, "xlsx": xlsx}

@@ -13,7 +13,7 @@ from papertide.api import extract, extract_bytes, report
 from papertide.fixtures import legacy as old
 from papertide.fixtures import packages as new
 from papertide.functions import text as T
-from papertide.sources.files import container, typed_rows
+from papertide.sources.files import container, spread, typed_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,7 +56,7 @@ def packed(rows: DataFrame, make: Callable[..., bytes | None], id_col: str = "do
 
 
 def documents(spark: SparkSession, sf_dir: str, make: Callable[..., bytes | None]) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents").select("doc_id", "text"), make)
+    return packed(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), make)
 
 
 def texts(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -160,6 +160,7 @@ def pptx_order_notes_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _supplier_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice")
     rows = F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice")))
+    lines = lines.repartition(4 * spark.sparkContext.defaultParallelism, "l_suppkey")  # enough tasks for the packing behind the aggregate
     return lines.groupBy(F.col("l_suppkey").alias("doc_id")).agg(rows.alias("rows"))
 
 
@@ -270,7 +271,7 @@ def part_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mapped(spark: SparkSession, sf_dir: str, f: Callable[[Column], Column]) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", f(F.col("text")).alias("text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", f(F.col("text")).alias("text"))
 
 
 @query("SELECT doc_id, trim(replace(replace(replace(text, '&', '&'), ' ', ' x '), chr(10), ' ')) AS text FROM documents")
@@ -287,3 +288,120 @@ def clean_slide_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, replace(text, ' ', chr(9)) || '€' || chr(129) || '’' AS text FROM documents")
 def cp1252_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mapped(spark, sf_dir, lambda c: T.cp1252(F.concat(F.encode(F.replace(c, F.lit(" "), F.lit("\t")), "ISO-8859-1"), F.lit(b"\x80\x81\x92"))))
+
+
+def _compressed(doc_id: int, text: str) -> bytes:
+    modules = [("Lines", text + "\n"), ("Again", "x = 1\r\n" * (doc_id % 900))]
+    return new.docx_bytes("body", {"word/vbaProject.bin": new.compound_bytes(old.vba_streams(modules, compress=True))}) if doc_id % 2 else old.doc_bytes([("body\r", True)], modules, compress=True)
+
+
+@query("""SELECT doc_id, 'body' || chr(10) || CASE WHEN doc_id % 2 = 1 THEN '=== Macros ===' || chr(10) ELSE '' END || '=== VBA Module: Lines ===' || chr(10) || text || chr(10)
+    || CASE WHEN doc_id % 900 = 0 THEN '' ELSE '=== VBA Module: Again ===' || chr(10) || repeat('x = 1' || chr(10), CAST(doc_id % 900 AS INTEGER)) END AS text FROM documents WHERE trim(text, ' ' || chr(10) || chr(9)) <> ''""")
+def compressed_macros(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers with copy tokens; documents without a visible character have no such module and are left out on both sides."""
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).where(F.trim(F.translate("text", "\n\t", "  ")) != "")
+    return texts(packed(rows, _compressed))
+
+
+_NARROW = "regexp_replace(text, '[^\\x{20}-\\x{FF}\\n]', '?', 'g')"
+
+
+def _old_book(doc_id: int, text: str) -> bytes:
+    narrow = "".join(c if "\x20" <= c <= "\xff" or c == "\n" else "?" for c in text)
+    rows = b""
+    for i, line in enumerate(narrow.split("\n")):
+        for j, w in enumerate(line.split(" ")):
+            rows += old.record(0x204, struct.pack("<HHHH", i % 65536, j % 256, 0, len(w)) + w.encode("latin-1"))
+    byte_string = lambda s: bytes([len(s)]) + s.encode("latin-1")
+    rows += old.record(0x14, byte_string("&CHead é")) + old.record(0x15, byte_string("&L&P foot"))
+    rows += old.record(0x18, struct.pack("<HBBHHHBBBB", 0, 0, 4, 0, 0, 0, 0, 0, 0, 0) + "Näme".encode("latin-1"))
+    return old.old_xls_bytes([f"Blätt {doc_id}"], [rows])
+
+
+@query(f"""SELECT d.doc_id, '=== Sheet: Blätt ' || d.doc_id || ' ===' || chr(10) || coalesce(string_agg(array_to_string(words, chr(9)), chr(10) ORDER BY k) || chr(10), '') || 'Head é' || chr(10) || 'foot' || chr(10) || 'Näme' || chr(10) AS text
+    FROM documents d LEFT JOIN (SELECT doc_id, k, list_filter(string_split(line, ' '), lambda w: w <> '') AS words FROM (
+        SELECT doc_id, unnest(string_split({_NARROW}, chr(10))) AS line, generate_subscripts(string_split({_NARROW}, chr(10)), 1) AS k FROM documents)) l ON d.doc_id = l.doc_id AND len(words) > 0 GROUP BY d.doc_id""")
+def xls_byte_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workbooks of the older version: byte strings, in a stream of another name."""
+    return texts(documents(spark, sf_dir, _old_book))
+
+
+def _remarks(doc_id: int, text: str) -> bytes:
+    more = {"xl/drawings/drawing2.xml": new.drawing_part(f"box {doc_id}"), "xl/drawings/drawing1.xml": new.drawing_part(text), "xl/comments1.xml": f"<comments><t>{new.escape(text)}</t></comments>", "xl/threadedComments/threadedComment1.xml": "<c><text>later</text><text> on</text></c>"}
+    return new.xlsx_bytes([("Prices", new.sheet_part([[new.cell("1", "")]])), ("Empty", new.sheet_part([]))], linked=doc_id % 2 == 0, more=more)
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '=== Sheet: Prices ===' ELSE '=== Sheet: Sheet1 ===' END || chr(10) || '1' || chr(10) || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '=== Sheet: Empty ===' ELSE '=== Sheet: Sheet2 ===' END || chr(10) || chr(10)
+    || '=== Comments ===' || chr(10) || text || chr(10) || chr(10) || '=== Comments ===' || chr(10) || 'later on' || chr(10) || chr(10) || '=== Shapes ===' || chr(10) || text || chr(10) || chr(10) || '=== Shapes ===' || chr(10) || 'box ' || doc_id || chr(10) AS text FROM documents""")
+def xlsx_comments_drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments, drawings, and sheets without relationships, which go by their numbers."""
+    return texts(documents(spark, sf_dir, _remarks))
+
+
+def _locked(doc_id: int, text: str) -> bytes:
+    match doc_id % 4:
+        case 0:
+            return old.xls_bytes(["S"], [old.record(0x2F, b"\0\0") + old.record(0x204, struct.pack("<HHH", 0, 0, 0) + old.short_string("x", 2))], text.split("\n"))
+        case 1:
+            return old.ppt_bytes([], locked=True)
+        case 2:
+            return old.ppt_bytes([("shown", True), (text, False)], locked=True)
+        case _:
+            return old.doc_bytes([(text, False)], encrypted=True)
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 <> 2 THEN 'encrypted' END AS error_code, CASE WHEN doc_id % 4 = 2 THEN 'shown' || chr(10) || text || chr(10) END AS text FROM documents")
+def encrypted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encrypted workbooks, presentations and documents; a presentation that shows text all the same is extracted."""
+    return extract(documents(spark, sf_dir, _locked)).select("doc_id", "error_code", "text")
+
+
+def _prefixed(doc_id: int, text: str) -> bytes:
+    return (b"#!/bin/stub\n" * (doc_id % 5)) + new.docx_bytes(text)
+
+
+@query("SELECT doc_id, octet_length(encode(text || chr(10))) AS n_bytes, sha1(encode(text || chr(10))) AS digest FROM documents")
+def archives_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that open as archives though their first bytes are others, as bytes."""
+    found = extract_bytes(documents(spark, sf_dir, _prefixed), by_path=True)
+    return found.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha1("text").alias("digest"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || chr(10) END AS text FROM documents")
+def archives_by_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files by their first bytes: those that begin otherwise are no archives."""
+    return texts(documents(spark, sf_dir, _prefixed))
+
+
+def _loose(doc_id: int, text: str) -> bytes:
+    lines = "".join(f"<w:p><w:r><w:t xml:space=preserve flag>{line.replace('<', '&lt;')}</w:t></w:p>" for line in text.split("\n"))
+    return new.zip_bytes({"word/document.xml": b"\xef\xbb\xbf" + f"<w:document><w:body>{lines}<w:p><w:t>&copy; {doc_id}</w:body></w:document></nothing><w:t>lost</w:t>".encode()})
+
+
+@query("SELECT doc_id, regexp_replace(text, '&(amp|lt|gt|quot|apos);', '&', 'g') || chr(10) || '&copy; ' || doc_id || chr(10) AS text FROM documents WHERE NOT regexp_matches(text, '&(#|amp;|lt;|gt;|quot;|apos;)')")
+def docx_loose_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A byte order mark, missing and odd end tags, attributes without quotes, bare ampersands; texts that hold references themselves are left out on both sides."""
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).where(~F.col("text").rlike("&(#|amp;|lt;|gt;|quot;|apos;)"))
+    return texts(packed(rows, _loose))
+
+
+def _every_text(doc_id: int, text: str) -> bytes:
+    wide = lambda s: struct.pack("<I", len(s) + 1) + (s + "\0").encode("utf-16-le")
+    label = lambda row, s: old.record(0x204, struct.pack("<HHH", row, 0, 0) + old.short_string(s, 2))
+    out = b""
+    for line in text.split("\n"):
+        for at in range(0, len(line), 1500):
+            piece = line[at : at + 1500]
+            size = len(piece.encode("utf-16-le")) // 2
+            out += old.record(0x1B6, struct.pack("<10xH6x", size)) + old.record(0x3C, b"\1" + piece.encode("utf-16-le"))
+    return old.xls_bytes(["S"], [label(0, "a") + out + old.record(0x1B8, bytes(28) + struct.pack("<I", 0x101) + wide("file")) + label(0, "z")])
+
+
+@query("""SELECT doc_id, '=== Sheet: S ===' || chr(10) || 'a' || chr(10) || coalesce(t || chr(10), '') || 'file' || chr(10) || 'z' || chr(10) AS text FROM (
+    SELECT d.doc_id, string_agg(piece, chr(10) ORDER BY k, cut) AS t FROM documents d LEFT JOIN (
+        SELECT doc_id, k, cut, substr(line, CAST(cut AS BIGINT) + 1, 1500) AS piece FROM (
+            SELECT doc_id, k, line, unnest(range(0, length(line), 1500)) AS cut FROM (
+                SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents))) p ON d.doc_id = p.doc_id AND trim(piece, ' ' || chr(9)) <> '' GROUP BY d.doc_id)""")
+def xls_text_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts in text boxes, and a link to a file."""
+    return texts(documents(spark, sf_dir, _every_text))

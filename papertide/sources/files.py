@@ -26,6 +26,12 @@ def read_files(spark: SparkSession, path: str, pattern: str | None = None) -> Da
     return reader.load(path).select("path", "content")
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table as read; only if it has fewer partitions than there are cores its rows are dealt out, which large tables never need."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(2 * cores)
+
+
 def is_zip(content: Column) -> Column:
     return F.substring(content, 1, 4).isin(*(F.lit(m) for m in (b"PK\x03\x04", b"PK\x05\x06", b"PK\x07\x08")))
 
@@ -68,24 +74,45 @@ def _text(v: str | None) -> str | None:
     return v if v is None or v.isascii() else v.encode("utf-8", "replace").decode()
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; only where that is unset, and driver and executors are one process, one of our own."""
     try:
         found = spark.conf.get("spark.checkpoint.dir")
     except Exception:  # a setting without a default raises when unset
         found = None
+    found = found or spark.sparkContext.getCheckpointDir()
     if not found:
-        context = spark.sparkContext
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="papertide-"))
-        found = context.getCheckpointDir()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="papertide-"))
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the shared folder."""
-    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/papertide-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A name of its own in the shared folder; `release` removes what was written there."""
+    path = f"{shared_folder(spark)}/papertide-{label}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """df as a table in the shared folder: it outlives executors and cuts the lineage.  by: a column to lay the files out by."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession, label)
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def release(spark: SparkSession) -> None:
+    """Removes all that this application has written to the shared folder; DataFrames made before can no longer be read."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
 
 
 def typed_rows(files: DataFrame, id_col: str = "doc_id", content_col: str = "content", by_path: bool = False) -> DataFrame:
@@ -96,4 +123,5 @@ def typed_rows(files: DataFrame, id_col: str = "doc_id", content_col: str = "con
 
 
 def decoded(files: DataFrame, id_col: str = "doc_id", content_col: str = "content", by_path: bool = False) -> DataFrame:
-    return written(typed_rows(files, id_col, content_col, by_path), "items")
+    """The rows of all kinds, laid out by kind, so that a plan reads only those that it needs."""
+    return written(typed_rows(files, id_col, content_col, by_path), "items", by="kind")

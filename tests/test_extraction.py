@@ -83,6 +83,29 @@ def test_text_functions(spark):
         assert one(lambda c: T.resolve_target("ppt", c), target) == expected
 
 
+def test_heading_codes_whole_and_by_token_agree(spark):
+    import random
+
+    r = random.Random(3)
+    values = ["".join(r.choice(["&", "&&", '"', "L", "C", "K", "F0", "12", " ", "x", "&P", '&"A,B"', "\n"]) for _ in range(r.randint(0, 25))) for _ in range(600)] + ["a\uFFFE\uFDD0&&b", None]
+    found = spark.createDataFrame([(v,) for v in values], "s string").select(T.strip_heading_codes(F.col("s")).alias("a"), T._strip_by_token(F.col("s")).alias("b")).collect()
+    assert len(found) == len(values) and all(x.a == x.b for x in found)
+
+
+def test_release_removes_what_was_written(spark, tmp_path):
+    import os
+
+    from papertide.sources import files
+
+    before = dict(files._WRITTEN)
+    files._WRITTEN.clear()
+    path = files.new_folder(spark, "x")
+    spark.range(3).write.parquet(path)
+    files.release(spark)
+    assert not os.path.exists(path.removeprefix("file:")) and not files._WRITTEN
+    files._WRITTEN.update(before)
+
+
 def test_command_line(spark, tmp_path, capsys):
     from papertide.__main__ import main
 
