@@ -22,7 +22,8 @@ without words is linked with nothing.
 
 Links are counted between documents: a node's copies count one by one.  Null ids keep their
 row; a component of null ids only has a null id.  Repeated rows are documents that are copies
-of each other.  Extra columns are ignored.
+of each other.  Of nodes with equal sets the one with the least id, then text digest, gives its text.  A very long
+text is one set, held by one task at a time.  An empty table gives no rows.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papertide.llm.components import components
-from papertide.llm.shared import own, written
+from papertide.llm.shared import join_salted, own, written
 from papertide.llm.words import Chunk, chunks, mix, windows
 
 SAMPLE, SURE = 64, 24
@@ -55,7 +56,7 @@ def shingle_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
             yield mix(windows(h[lo:hi], hi - lo) + np.uint64(hi - lo)) if hi > lo else h[:0]
 
 
-def _list_sets(k: int):
+def _list_sets(k: int, most: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
@@ -66,7 +67,7 @@ def _list_sets(k: int):
                     node.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     key.append(hashlib.md5(text).digest())
                     size.append(len(s))
-                    sample.append(None if node[-1] in seen else s[:SAMPLE].view(np.int64))
+                    sample.append(None if node[-1] in seen else s[:most].view(np.int64))
                     if len(seen) < 200_000:
                         seen.add(node[-1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.binary()), pa.array(key, pa.binary()), pa.array(size, pa.int64()), pa.array(sample, pa.list_(pa.int64()))], ["doc_id", "node", "tkey", "n", "sample"])
@@ -198,10 +199,11 @@ def _links(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary()), pa.array(n, pa.int64())], ["u", "v", "links"])
 
 
-def prefix_elements(nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """(token, node): the elements of each node's prefix that another node's sample has too."""
-    size = F.least(F.col("n"), F.lit(SAMPLE))
-    sure = F.when(F.col("n") <= SAMPLE * num // den, F.ceil(F.col("n") * num / den)).otherwise(F.lit(SURE))
+def prefix_elements(nodes: DataFrame, num: int, den: int, sample: int | None = SAMPLE) -> DataFrame:
+    """(token, node): the elements of each node's prefix that another node's sample has too; without a sample, of its whole set."""
+    whole = F.ceil(F.col("n") * num / den)
+    size = F.col("n") if sample is None else F.least(F.col("n"), F.lit(sample))
+    sure = whole if sample is None else F.when(F.col("n") <= sample * num // den, whole).otherwise(F.lit(SURE))
     each = nodes.select("node", (size - sure + 1).cast("int").alias("prefix"), size.cast("int").alias("size"), F.explode("sample").alias("token"))
     shared = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     back = each.join(shared, "token").groupBy("node", "prefix", "size").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("found"))
@@ -209,21 +211,26 @@ def prefix_elements(nodes: DataFrame, num: int, den: int) -> DataFrame:
     return back.select("node", F.explode(F.slice("found", F.lit(1), room)).alias("x")).select(F.col("x.token").alias("token"), "node")
 
 
-def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100, block_nodes: int = 2_000, block_elements: int = 2_000_000, broadcast_nodes: int = 500_000) -> DataFrame:
-    """Rows (id_col, n_shingles, component_id, n_links): sets link when den * |common| >= num * |union|."""
+def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100, block_nodes: int = 2_000, block_elements: int = 2_000_000, broadcast_nodes: int = 100_000, exact: bool = False) -> DataFrame:
+    """Rows (id_col, n_shingles, component_id, n_links): sets link when den * |common| >= num * |union|.
+
+    broadcast_nodes: up to how many nodes (of about 250 bytes) are broadcast to find their texts; more are joined by a shuffle of the texts.
+    exact: prefixes are taken from whole sets, not from samples: no chance is left, and every shingle travels.
+    """
     rows = own(df, doc_id=id_col, text=text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    listed = written(rows.mapInArrow(_list_sets(shingle), f"doc_id {kind}, node binary, tkey binary, n long, sample array<long>"), "sets")
+    listed = written(rows.mapInArrow(_list_sets(shingle, None if exact else SAMPLE), f"doc_id {kind}, node binary, tkey binary, n long, sample array<long>"), "sets")
     nodes = listed.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.count("*").alias("copies"), F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "tkey")).alias("rep"), F.first("sample", True).alias("sample"))
     nodes = written(nodes, "nodes")
 
-    prefix = written(prefix_elements(nodes, num, den), "prefixes")
+    prefix = written(prefix_elements(nodes, num, den, None if exact else SAMPLE), "prefixes")
     least = prefix.groupBy("token").agg(F.min("node").alias("v"), F.count("*").alias("k")).where("k > 1").select("token", "v")
     clusters = written(components(prefix.join(least, "token").select(F.col("node").alias("u"), "v").distinct()), "clusters")
 
     members = nodes.drop("sample").join(clusters, "node")
     blocks = members.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / block_nodes), F.ceil(F.sum("n") / block_elements)).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "label").withColumn("b", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = join_salted(members, blocks.where("blocks > 1"), "label", "node", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))  # few clusters have several
+    dealt = dealt.withColumn("b", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     dealt = dealt.select("label", "node", "copies", "rep", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
     dealt = dealt.select("label", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("b") > F.col("o")).cast("int").alias("side"), "node", "copies", F.col("rep.tkey").alias("tkey"), F.col("rep.doc_id").alias("rep_id"))
     dealt = written(dealt, "dealt")
@@ -235,17 +242,14 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
 
     parts = components(found.select("u", "v"))
     links = found.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
-    named = nodes.select("node", "copies", F.col("rep.doc_id").alias("least")).join(parts, "node", "left").join(links, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    ids = _least_id(named)
-    named = named.join(ids, "label").select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    named = nodes.select("node", "copies", F.col("rep.doc_id").alias("least")).join(parts, "node", "left").join(links, "node", "left")
+    ids = named.where("label is not null").groupBy("label").agg(F.min("least").alias("component_id"))
+    named = join_salted(named, ids, "label", "node", "left", salts=8)  # a node without links is alone: its copies' least id
+    named = named.select("node", F.when(F.col("label").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     full = listed.select("doc_id", "node", "n").join(named, "node", "left")
     return full.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def _least_id(named: DataFrame) -> DataFrame:
-    return named.groupBy("label").agg(F.min("least").alias("component_id"))
-
-
 def error_bound(share: float, sample: int = SAMPLE, sure: int = SURE) -> float:
     """The chance that two sets linked at exactly this share have fewer than `sure` common elements in their samples."""
     return sum(math.comb(sample, i) * share**i * (1 - share) ** (sample - i) for i in range(sure))

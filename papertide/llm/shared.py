@@ -1,39 +1,28 @@
-"""The folder that driver and executors share, and tables written there."""
+"""Tables in the folder that driver and executors share, columns under our own names, and joins on hot keys."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from papertide.sources.files import new_folder, shared_folder, spread, written
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset, one of our own."""
-    try:
-        found = spark.conf.get("spark.checkpoint.dir")
-    except Exception:  # a setting without a default raises when unset
-        found = None
-    if not found:
-        context = spark.sparkContext
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="papertide-"))
-        found = context.getCheckpointDir()
-    return found.rstrip("/")
+__all__ = ["join_salted", "new_folder", "own", "row_key", "shared_folder", "spread", "written"]
 
 
-def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/papertide-{label}-{uuid.uuid4().hex}"
+def own(df: DataFrame, **columns: str | Column) -> DataFrame:
+    """Only the given columns under our names, so that other columns cannot clash."""
+    return df.select(*(F.col(c).alias(k) if isinstance(c, str) else c.alias(k) for k, c in columns.items()))
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the shared folder: it outlives executors and cuts the lineage."""
-    spark, path = df.sparkSession, new_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def row_key(doc_id: Column, text: Column) -> Column:
+    """What a row is known by where ids may repeat or be null: rows of one key have equal ids and texts."""
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("\0"), F.coalesce(text, F.lit("")))))
 
 
-def own(df: DataFrame, **columns: str | Column) -> DataFrame:
-    """Only the given columns under our names, so that other columns cannot clash."""
-    return df.select(*(F.col(c).alias(k) if isinstance(c, str) else c.alias(k) for k, c in columns.items()))
+def join_salted(many: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """many joined with one, which has at most one row a key: a key with very many rows of many goes to `salts` tasks, dealt by the column by."""
+    salt = F.pmod(F.xxhash64(by), F.lit(salts))
+    left = many.withColumn("__salt", F.when(F.col(key).isNull(), -1 - F.pmod(F.xxhash64(by), F.lit(1 << 20))).otherwise(salt).cast("int"))  # rows without a key are dealt out too
+    right = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [key, "__salt"], how).drop("__salt")

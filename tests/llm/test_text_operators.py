@@ -68,7 +68,7 @@ def near_copies(seed):
     return docs + EDGES + [(None, docs[9][1]), docs[3], docs[3]]
 
 
-@pytest.mark.parametrize("options", [{}, {"block_nodes": 3, "broadcast_nodes": 0}])
+@pytest.mark.parametrize("options", [{}, {"block_nodes": 3, "broadcast_nodes": 0}, {"exact": True}])
 def test_jaccard_join(spark, options):
     from papertide.llm.jaccard_join import similar
 
