@@ -257,8 +257,10 @@ def archive_pages(pages: DataFrame, folder: str | None = None, id_col: str = "pa
     rows = own(pages, page_id=id_col, url=F.col(url_col).cast("string"), payload=F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("n", F.octet_length("payload"))
     large = rows.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("chief"), F.count("*").alias("k")).where("k > 1").drop("k")
-    joined = rows.join(large, "digest", "left")
-    revisit = (F.col("n") >= min_bytes) & F.col("chief").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("chief"))
+    # Smaller payloads are never revisits and stay where they are, however many of them are equal.
+    small = rows.where(F.col("n") < min_bytes).withColumn("chief", F.lit(None).cast(rows.schema["page_id"].dataType))
+    joined = rows.where(F.col("n") >= min_bytes).join(large, "digest", "left").unionByName(small)
+    revisit = F.col("chief").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("chief"))
     urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")))
     out = joined.select(
         urn("page_id").alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("warc_type"), F.col("url").alias("target_uri"), F.when(revisit, urn("chief")).alias("refers_to"),
