@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from papertide.llm.substring_dedup import remove_repeated
 
-    return remove_repeated(table(spark, sf_dir, "documents")).drop("kept_text")
+    return remove_repeated(table(spark, sf_dir, "documents")).drop("kept_text", "rid")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,8 @@ compares the words of equal hashes.
 
 Rows are known by an MD5 of id and text.  Null or empty texts, and texts shorter
 than a window, lose nothing; a null text has no words.  Repeated rows are separate
-documents and cover each other.  Extra columns are ignored.
+documents and cover each other.  Of equal windows none is kept.  A very long text is cut into super-k-mers
+like any other; it is one row, held by one task.  An empty table gives no rows.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,9 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papertide.llm.shared import own, written
+from papertide.llm.shared import own, row_key, written
 from papertide.llm.words import Chunk, chunks, sliding_min, windows
 
+#: A minimiser is heavy if it has more than this part of all places of shared minimisers.
+HEAVY = 2_000
 _SUPER, _WINDOW, _REPEATED, _COVERED = 0, 1, 2, 3
 _ROUTED = pa.schema([("route", pa.int64()), ("kind", pa.int8()), ("rid", pa.binary()), ("start", pa.int32()), ("stop", pa.int32()), ("packed", pa.binary())])
 
@@ -240,21 +243,25 @@ def _strip(id_col: str):
                 kept = b" ".join(words)
                 digest.append(hashlib.sha256(kept).hexdigest())
                 kept_text.append(kept)
-            yield pa.RecordBatch.from_arrays([batch.column(at("doc_id")), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string()), pa.array(kept_text, pa.binary()).cast(pa.string())], [id_col, "n_words", "n_removed", "kept_sha256", "kept_text"])
+            yield pa.RecordBatch.from_arrays([batch.column(at("doc_id")), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string()), pa.array(kept_text, pa.binary()).cast(pa.string()), batch.column(at("rid"))], [id_col, "n_words", "n_removed", "kept_sha256", "kept_text", "rid"])
 
     return run
 
 
 def remove_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, minimiser: int = 8, hot: int = 5_000) -> DataFrame:
-    """Rows (id_col, n_words, n_removed, kept_sha256, kept_text); hot: super-k-mers from which on a bucket is counted by digests."""
-    key = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\0"), F.coalesce("text", F.lit("")))))
-    rows = own(df, doc_id=id_col, text=text_col).withColumn("rid", key).where(F.col("rid").isNotNull())  # both joins below then share one exchange of the texts
+    """Rows (id_col, n_words, n_removed, kept_sha256, kept_text, rid); rid: `row_key` of id and text; hot: super-k-mers from which on a bucket is counted by digests."""
+    rows = own(df, doc_id=id_col, text=text_col)
+    rows = rows.withColumn("rid", row_key(F.col("doc_id"), F.col("text"))).where(F.col("rid").isNotNull())  # both joins below then share one exchange of the texts
     listed = written(rows.select("rid", "text").mapInArrow(_routes(window, minimiser), "rid binary, routes array<long>, times array<tinyint>"), "minimisers")
     each = listed.where(F.size("routes") > 0).select("rid", F.posexplode(F.arrays_zip("routes", "times")).alias("ord", "x")).select("rid", "ord", F.col("x.routes").alias("route"), F.col("x.times").alias("times"))
-    shared = each.groupBy("route").agg(F.sum("times").alias("n")).where("n > 1").select("route", (F.col("n") > hot).alias("hot"))
-    wanted = each.join(shared, "route").groupBy("rid").agg(F.collect_set(F.struct("ord", "hot")).alias("wanted"))
+    shared = written(each.groupBy("route").agg(F.sum("times").alias("n")).where("n > 1").select("route", "n", (F.col("n") > hot).alias("hot")), "routes")
+    # Minimisers with more than a 2,000th of all places are 2,000 at most: they are broadcast, and no key of the other join is hot.
+    share = (shared.agg(F.sum("n")).first()[0] or 0) / HEAVY
+    heavy, light = F.broadcast(shared.where(F.col("n") > share).select("route", "hot")), shared.where(F.col("n") <= share).select("route", "hot")
+    places = each.join(heavy, "route", "left_anti").join(light, "route").unionByName(each.join(heavy, "route")).select("rid", "ord", "hot")
+    wanted = places.groupBy("rid").agg(F.collect_set(F.struct("ord", "hot")).alias("wanted"))
     routed = rows.join(wanted, "rid").mapInArrow(_pack(window, minimiser), "route long, kind tinyint, rid binary, start int, stop int, packed binary")
     found = routed.repartition("route").sortWithinPartitions("route").mapInArrow(_count(window), "rid binary, start int, stop int")
     spans = found.groupBy("rid").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.join(spans, "rid", "left").mapInArrow(_strip(id_col), f"{id_col} {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return rows.join(spans, "rid", "left").mapInArrow(_strip(id_col), f"{id_col} {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string, rid binary")
