@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papertide.sources.files import new_folder, shared_folder, spread, written
+from papertide.sources.files import new_folder, shared_folder, written
 
-__all__ = ["join_salted", "new_folder", "own", "row_key", "shared_folder", "spread", "written"]
+__all__ = ["join_salted", "new_folder", "own", "row_key", "shared_folder", "written"]
 
 
 def own(df: DataFrame, **columns: str | Column) -> DataFrame:
