@@ -19,14 +19,8 @@ _F = np.float32
 #: Places of a window of scoring.
 PLACES = 8_192
 _UPDATE, _RESET, _NEW = 0, 1, 2
-
-
-def _squash(x: np.ndarray) -> None:
-    """x becomes its logistic function."""
-    np.negative(x, out=x)
-    np.exp(x, out=x)  # where this is beyond the range the function is 0, as it should be
-    x += 1
-    np.reciprocal(x, out=x)
+#: What goes into the gates carries the factors of the exponentials: 1 / (1 + exp(-x)) twice, and tanh as 2 / (1 + exp(-2 x)) - 1.
+_SCALE = np.array([-1, -1, -2], _F).reshape(3, 1, 1)
 
 
 @dataclass
@@ -70,41 +64,49 @@ class GatedModel:
             found = self._kept[name] = np.empty(n, kind)
         return found[:n].reshape(shape)
 
-    def _unrolled(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """ids (steps, rows), first (rows, hidden) -> states (rows + places, hidden) from first on, gates (3, places, hidden), and the recurrent part of the new state before its reset."""
+    def _unrolled(self, ids: np.ndarray, first: np.ndarray, inner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """ids (steps, rows), first (rows, hidden) -> states (rows + places, hidden) from first on, gates (3, places, hidden).
+
+        inner, if given, gets the recurrent part of the new state before its reset, times -2.
+        """
         p, n, (steps, rows) = self.p, self.hidden, ids.shape
         x, states = self._room("x", 3, ids.size, n), self._room("states", rows + ids.size, n)
-        inner, hu, rest = self._room("inner", ids.size, n), self._room("hu", 3, rows, n), self._room("rest", rows, n)
-        where = ids.reshape(-1)
-        for gate, table in enumerate(p["win"] + p["b"]):
+        hu, rest = self._room("hu", 3, rows, n), self._room("rest", rows, n)
+        where, scale = ids.reshape(-1), _SCALE.astype(x.dtype)
+        for gate, table in enumerate((p["win"] + p["b"]) * scale):
             np.take(table, where, axis=0, out=x[gate], mode="clip")
+        across, (gates, news), (pair, last) = p["u"] * scale, (x[:_NEW], x[_NEW]), (hu[:_NEW], hu[_NEW])
         states[:rows] = h = first
-        for t in range(steps):
-            at = slice(t * rows, (t + 1) * rows)
-            np.matmul(h, p["u"], out=hu)
-            gates, new = x[:_NEW, at], x[_NEW, at]
-            gates += hu[:_NEW]
-            _squash(gates)
-            inner[at] = hu[_NEW]
-            np.multiply(gates[_RESET], hu[_NEW], out=rest)
+        for a in range(0, ids.size, rows):
+            b = a + rows
+            np.matmul(h, across, out=hu)
+            both, new = gates[:, a:b], news[a:b]
+            both += pair
+            np.exp(both, out=both)  # where this is beyond the range the function is 0, as it should be
+            both += 1
+            np.reciprocal(both, out=both)
+            if inner is not None:
+                inner[a:b] = last
+            np.multiply(both[_RESET], last, out=rest)
             new += rest
-            new *= 2  # tanh by the cheaper exponential
-            _squash(new)
-            new *= 2
+            np.exp(new, out=new)
+            new += 1
+            np.divide(2, new, out=new)
             new -= 1
             np.subtract(h, new, out=rest)
-            rest *= gates[_UPDATE]
-            rest += new
-            h = states[rows + t * rows : rows + (t + 1) * rows]
-            h[:] = rest
-        return states, x, inner
+            rest *= both[_UPDATE]
+            h = np.add(rest, new, out=states[b : b + rows])
+        return states, x
 
-    def _picked(self, logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Log probabilities of the entry at of each place; logits become the probabilities."""
+    def _picked(self, logits: np.ndarray, at: np.ndarray, divided: bool = False) -> np.ndarray:
+        """Log probabilities of the entry at of each place; logits become the probabilities, if these are to be divided by their sums."""
         logits -= logits.max(0)
+        chosen = logits[at, np.arange(len(at))]
         np.exp(logits, out=logits)
-        logits /= logits.sum(0)
-        return np.log(np.maximum(logits[at, np.arange(len(at))], 1e-30))
+        total = logits.sum(0)
+        if divided:
+            logits *= np.reciprocal(total)
+        return chosen - np.log(total)
 
     def _classes_of(self, states: np.ndarray) -> np.ndarray:
         logits = np.matmul(self.p["wc"].T, states.T, out=self._room("classes", self.classes, len(states)))
@@ -158,7 +160,7 @@ class GatedModel:
                 real = at < stop[alive]
                 ids = flat[np.where(real, at, 0)]
                 with np.errstate(over="ignore"):
-                    states, _, _ = self._unrolled(np.concatenate([before[None], ids[:-1]]), h)
+                    states, _ = self._unrolled(np.concatenate([before[None], ids[:-1]]), h)
                 h, before = states[-len(alive) :].copy(), ids[-1]
                 states = states[len(alive) :]
                 if real.all():
@@ -205,20 +207,21 @@ class GatedModel:
         """Loss, gradients of the mean loss, and the state to carry on; gradients stop at the window's begin."""
         p, n, size, rows = self.p, self.hidden, x.size, x.shape[1]
         with np.errstate(over="ignore"):
-            all_states, gates, inner = self._unrolled(x, h)
+            inner = self._room("inner", size, n)
+            all_states, gates = self._unrolled(x, h, inner)
         before, states = all_states[:size], all_states[rows:]
         cls, within, order, cuts = self._by_class(y.reshape(-1))
         places = np.arange(size)
         # The classes, then the words within them: the probabilities less one at the targets are the gradients of the logits.
         prob = self._classes_of(states)
-        loss = -float(self._picked(prob, cls).sum())
+        loss = -float(self._picked(prob, cls, True).sum())
         prob[cls, places] -= 1
         g = {"wc": (prob @ states).T, "bc": prob.sum(1)}
         dh = np.matmul(prob.T, p["wc"].T, out=self._room("dh", size, n))
         ranked, back = self._room("ranked", size, n), self._room("back", size, n)
         np.take(states, order, axis=0, out=ranked, mode="clip")
         q = self._within(ranked, cuts)
-        loss -= float(self._picked(q, within[order]).sum())
+        loss -= float(self._picked(q, within[order], True).sum())
         q[within[order], places] -= 1
         g["ww"], g["bw"] = np.zeros_like(p["ww"]), np.zeros_like(p["bw"])
         for c in range(self.classes):
@@ -241,34 +244,45 @@ class GatedModel:
         np.multiply(c, c, out=to_c)
         np.subtract(1, to_c, out=to_c)
         to_c *= one
-        np.subtract(1, r, out=to_r)
+        np.subtract(r, 1, out=to_r)
         to_r *= r
         to_r *= inner
-        dx, du = self._room("dx", size, 3, n), self._room("du", size, 3, n)
+        to_r *= 0.5
+        du = self._room("du", size, 3, n)
         carry, step = self._room("rest", rows, n), self._room("hu", rows, n)
         carry[:] = 0
         across = np.ascontiguousarray(p["u"].transpose(0, 2, 1)).reshape(3 * n, n)
-        for t in range(len(x) - 1, -1, -1):
-            at = slice(t * rows, (t + 1) * rows)
-            d, own, back = dh[at], dx[at], du[at]
+        for a in range(size - rows, -1, -rows):
+            at = slice(a, a + rows)
+            d, back = dh[at], du[at]
             d += carry
-            np.multiply(d, to_z[at], out=own[:, _UPDATE])
+            np.multiply(d, to_z[at], out=back[:, _UPDATE])
             new = np.multiply(d, to_c[at], out=to_c[at])
-            own[:, _NEW] = new
-            np.multiply(new, to_r[at], out=own[:, _RESET])
-            back[:, :_NEW] = own[:, :_NEW]
+            np.multiply(new, to_r[at], out=back[:, _RESET])
             np.multiply(new, r[at], out=back[:, _NEW])
             np.matmul(back.reshape(rows, 3 * n), across, out=step)
             np.multiply(d, z[at], out=carry)
             carry += step
-        dx, du = dx.reshape(size, 3 * n), du.reshape(size, 3 * n)
         apart = lambda v: v.reshape(-1, 3, n).transpose(1, 0, 2)
-        g["b"], g["u"] = apart(np.ones((1, size), dx.dtype) @ dx).copy(), apart(before.T @ du).copy()
-        where = x.reshape(-1)
-        order = np.argsort(where, kind="stable")
-        ids, begin = np.unique(where[order], return_index=True)
-        g["win"] = np.zeros_like(p["win"])
-        g["win"][:, ids] = apart(np.add.reduceat(np.take(dx, order, axis=0, out=du, mode="clip"), begin, axis=0))
+        g["u"] = apart(before.T @ du.reshape(size, 3 * n)).copy()
+        du[:, _NEW] = to_c  # from here on what goes into the gates: the new state's without its reset
+        ids, summed = self._by_id(x.reshape(-1), du.reshape(size, 3 * n))
+        g["win"], g["b"] = np.zeros_like(p["win"]), apart(summed.sum(0)).copy()
+        g["win"][:, ids] = apart(summed)
         for a in g.values():
             a /= size
         return loss, g, states[size - rows :].copy()
+
+    def _by_id(self, where: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids that occur, ascending, and the sum of the rows of each."""
+        order = np.argsort(where, kind="stable")
+        ranked = np.take(rows, order, axis=0, out=self._room("dx", *rows.shape), mode="clip")
+        there = where[order]
+        begin = np.flatnonzero(np.append(True, there[1:] != there[:-1]))
+        # The commonest ids come first and have long runs, which a plain sum adds faster.
+        few = begin[: self.width + 1].tolist()
+        out = np.empty((len(begin), rows.shape[1]), rows.dtype)
+        for k, (a, b) in enumerate(zip(few[:-1], few[1:], strict=True)):
+            np.add.reduce(ranked[a:b], axis=0, out=out[k])
+        out[len(few) - 1 :] = np.add.reduceat(ranked, begin[len(few) - 1 :], axis=0)
+        return there[begin], out
