@@ -24,8 +24,10 @@ import struct
 import uuid
 import zlib
 from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -133,21 +135,31 @@ class TokenReader:
 # The split pattern of byte-level tokenizers, and how they show bytes as characters (printable ones as themselves).
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_SHOWN = {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*_PRINTED}))}
+_OTHERS = sorted({*range(256)} - {*_PRINTED})
+_SHOWN = "".join(chr(256 + _OTHERS.index(b)) if b in _OTHERS else chr(b) for b in range(256))
+_ID, _PACKS = attrgetter("id"), [struct.Struct(f"={n}I").pack for n in range(32)]
 
 
 class _Cache(dict):
-    """Ids, as packed bytes, of pieces of text that the pre-tokenizer never joins with what stands beside them."""
+    """Ids, as packed bytes, of pieces of text that the pre-tokenizer never joins with what stands beside them.
 
-    def __init__(self, encode, prefix: str, limit: int):
-        self.encode, self.prefix, self.limit = encode, prefix, limit
+    `limit` pieces make a generation.  Of the one before, those that come again are taken over, so that common pieces stay
+    while those that came once go.
+    """
+
+    def __init__(self, encode, limit: int):
+        self.encode, self.limit, self.old = encode, max(1, limit), {}
 
     def __missing__(self, piece: str) -> bytes:
+        found = self.old.get(piece)
+        if found is None:
+            found = self.encode(piece)
+            if len(piece) >= 64:
+                return found
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        found = self.encode(self.prefix + piece)
-        if len(piece) < 64:
-            self[piece] = found
+        self[piece] = found
         return found
 
 
@@ -155,11 +167,12 @@ class Encoder:
     """The tokenizers library, applied once to each distinct piece.
 
     A blank after a character that is not white space always begins a new match of the byte-level
-    pre-tokenizer, so the text can be cut before it.
+    pre-tokenizer, so the text can be cut before it.  A line feed between two such characters is a match of its own, so the
+    text can be cut before and after it.
     """
 
-    #: A blank after other white space: such texts are cut more carefully.
-    _UNSAFE, _SAFE = re.compile(r"\s "), re.compile(r"(?<=\S)(?= )")
+    #: White space, or a blank, after other white space: such texts are cut more carefully.
+    _RUN, _UNSAFE, _SAFE = re.compile(r"\s\s"), re.compile(r"\s "), re.compile(r"(?<=\S)(?= )")
 
     def __init__(self, path: str, pieces: int = 400_000, added: bool = False):
         from tokenizers import Tokenizer
@@ -172,37 +185,50 @@ class Encoder:
         self.n_vocab = self.tokenizer.get_vocab_size()
         self.bits = max(1, (self.n_vocab - 1).bit_length())
         pre = self.tokenizer.pre_tokenizer
-        self._model, self._pre_tokenize = self.tokenizer.model, pre.pre_tokenize_str
+        self._tokenize, self._pre_tokenize = self.tokenizer.model.tokenize, pre.pre_tokenize_str
         self._byte_level = type(pre).__name__ == "ByteLevel" and pre.use_regex and not pre.add_prefix_space
-        self._plain, self._after_blank, self._tokens = _Cache(self._piece, "", pieces), _Cache(self._piece, " ", pieces), _Cache(self._token, "", pieces)
+        self._plain, self._after_blank, self._tokens = _Cache(self._piece, pieces // 4), _Cache(self._blank_piece, pieces), _Cache(self._token, pieces // 4)
+
+    def _blank_piece(self, word: str) -> bytes:
+        """The ids of a blank and word."""
+        if self._byte_level and word.isascii():
+            if word.isalpha():
+                return self._ids("Ġ" + word)
+            if word[:-1].isalpha() and word[-1] in ".,;:!?":  # the commonest case, and never a contraction
+                return self._after_blank[word[:-1]] + self._tokens[word[-1]]
+        return self._piece(" " + word)
 
     def _piece(self, text: str) -> bytes:
         """The library splits what may hold letters that tables of characters disagree on; the rest is split here."""
         if not self._byte_level or (not text.isascii() and max(text) >= "ɐ"):
-            return b"".join(self._ids(p) for p, _ in self._pre_tokenize(text))
+            return b"".join([self._ids(p) for p, _ in self._pre_tokenize(text)])
         word = text[1:] if text[:1] == " " else text
         if word.isalpha():
             return self._token(text)
-        if word[:-1].isalpha() and word[-1] in ".,;:!?":  # the commonest case, and never a contraction
+        if word[:-1].isalpha() and word[-1] in ".,;:!?":
             return self._after_blank[word[:-1]] + self._tokens[word[-1]] if word is not text else self._plain[word[:-1]] + self._tokens[word[-1]]
-        return b"".join(map(self._tokens.__getitem__, _SPLIT.findall(text)))
+        return b"".join([self._tokens[t] for t in _SPLIT.findall(text)])
 
     def _token(self, text: str) -> bytes:
-        if text.isascii() and text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
-            return self._ids("Ġ" + text[1:] if text[0] == " " else text)
-        return self._ids(text.encode().decode("latin-1").translate(_SHOWN))
+        return self._ids(text if text.isascii() and text.isalpha() else charmap_decode(text.encode(), "strict", _SHOWN)[0])
 
     def _ids(self, shown: str) -> bytes:
-        return array("I", [t.id for t in self._model.tokenize(shown)]).tobytes()
+        tokens = self._tokenize(shown)
+        return _PACKS[len(tokens)](*map(_ID, tokens)) if len(tokens) < len(_PACKS) else array("I", map(_ID, tokens)).tobytes()
+
+    def _line(self, text: str) -> bytes:
+        first, *rest = text.split(" ")
+        return self._plain[first] + b"".join(map(self._after_blank.__getitem__, rest))
 
     def encode(self, text: str) -> np.ndarray:
         if self._added is not None and self._added.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        if self._UNSAFE.search(text):
+        if self._byte_level and not self._RUN.search(text):
+            data = self._plain["\n"].join(map(self._line, text.split("\n")))
+        elif self._UNSAFE.search(text):
             data = b"".join(map(self._plain.__getitem__, self._SAFE.split(text)))
         else:
-            first, *rest = text.split(" ")
-            data = self._plain[first] + b"".join(map(self._after_blank.__getitem__, rest))
+            data = self._line(text)
         return np.frombuffer(data, "<u4")
 
 
