@@ -19,8 +19,8 @@ _F = np.float32
 #: Places of a window of scoring.
 PLACES = 8_192
 _UPDATE, _RESET, _NEW = 0, 1, 2
-#: What goes into the gates carries the factors of the exponentials: 1 / (1 + exp(-x)) twice, and tanh as 2 / (1 + exp(-2 x)) - 1.
-_SCALE = np.array([-1, -1, -2], _F).reshape(3, 1, 1)
+#: What goes into the gates is halved in the weights: the logistic function is (1 + tanh(x / 2)) / 2.
+_SCALE = np.array([0.5, 0.5, 1], _F).reshape(3, 1, 1)
 
 
 @dataclass
@@ -64,16 +64,20 @@ class GatedModel:
             found = self._kept[name] = np.empty(n, kind)
         return found[:n].reshape(shape)
 
-    def _unrolled(self, ids: np.ndarray, first: np.ndarray, inner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def _tables(self) -> np.ndarray:
+        """What each id puts into the gates, (3, ids, hidden)."""
+        return (self.p["win"] + self.p["b"]) * _SCALE.astype(self.p["u"].dtype)
+
+    def _unrolled(self, ids: np.ndarray, first: np.ndarray, inner: np.ndarray | None = None, tables: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """ids (steps, rows), first (rows, hidden) -> states (rows + places, hidden) from first on, gates (3, places, hidden).
 
-        inner, if given, gets the recurrent part of the new state before its reset, times -2.
+        inner, if given, gets the recurrent part of the new state before its reset; tables, if given, are _tables().
         """
         p, n, (steps, rows) = self.p, self.hidden, ids.shape
         x, states = self._room("x", 3, ids.size, n), self._room("states", rows + ids.size, n)
         hu, rest = self._room("hu", 3, rows, n), self._room("rest", rows, n)
         where, scale = ids.reshape(-1), _SCALE.astype(x.dtype)
-        for gate, table in enumerate((p["win"] + p["b"]) * scale):
+        for gate, table in enumerate(self._tables() if tables is None else tables):
             np.take(table, where, axis=0, out=x[gate], mode="clip")
         across, (gates, news), (pair, last) = p["u"] * scale, (x[:_NEW], x[_NEW]), (hu[:_NEW], hu[_NEW])
         states[:rows] = h = first
@@ -82,17 +86,14 @@ class GatedModel:
             np.matmul(h, across, out=hu)
             both, new = gates[:, a:b], news[a:b]
             both += pair
-            np.exp(both, out=both)  # where this is beyond the range the function is 0, as it should be
+            np.tanh(both, out=both)
             both += 1
-            np.reciprocal(both, out=both)
+            both *= 0.5
             if inner is not None:
                 inner[a:b] = last
             np.multiply(both[_RESET], last, out=rest)
             new += rest
-            np.exp(new, out=new)
-            new += 1
-            np.divide(2, new, out=new)
-            new -= 1
+            np.tanh(new, out=new)
             np.subtract(h, new, out=rest)
             rest *= both[_UPDATE]
             h = np.add(rest, new, out=states[b : b + rows])
@@ -142,7 +143,7 @@ class GatedModel:
         about PLACES places at most, so that a few long texts take few windows.
         """
         out, size = np.zeros(len(texts)), np.array([len(t) for t in texts], np.int64)
-        order = np.argsort(size, kind="stable")
+        order, tables = np.argsort(size, kind="stable"), self._tables()
         for a in range(0, len(order), rows):
             group = order[a : a + rows]
             flat, longest = np.concatenate([texts[i] for i in group]), int(size[group].max())
@@ -159,8 +160,7 @@ class GatedModel:
                 at = begin[alive] + s + np.arange(width)[:, None]
                 real = at < stop[alive]
                 ids = flat[np.where(real, at, 0)]
-                with np.errstate(over="ignore"):
-                    states, _ = self._unrolled(np.concatenate([before[None], ids[:-1]]), h)
+                states, _ = self._unrolled(np.concatenate([before[None], ids[:-1]]), h, tables=tables)
                 h, before = states[-len(alive) :].copy(), ids[-1]
                 states = states[len(alive) :]
                 if real.all():
@@ -206,9 +206,8 @@ class GatedModel:
     def _window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
         """Loss, gradients of the mean loss, and the state to carry on; gradients stop at the window's begin."""
         p, n, size, rows = self.p, self.hidden, x.size, x.shape[1]
-        with np.errstate(over="ignore"):
-            inner = self._room("inner", size, n)
-            all_states, gates = self._unrolled(x, h, inner)
+        inner = self._room("inner", size, n)
+        all_states, gates = self._unrolled(x, h, inner)
         before, states = all_states[:size], all_states[rows:]
         cls, within, order, cuts = self._by_class(y.reshape(-1))
         places = np.arange(size)
@@ -244,10 +243,9 @@ class GatedModel:
         np.multiply(c, c, out=to_c)
         np.subtract(1, to_c, out=to_c)
         to_c *= one
-        np.subtract(r, 1, out=to_r)
+        np.subtract(1, r, out=to_r)
         to_r *= r
         to_r *= inner
-        to_r *= 0.5
         du = self._room("du", size, 3, n)
         carry, step = self._room("rest", rows, n), self._room("hu", rows, n)
         carry[:] = 0
