@@ -34,14 +34,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papertide.llm.components import components
 from papertide.llm.shared import join_salted, own, written
-from papertide.llm.words import Chunk, chunks, mix, windows
+from papertide.llm.words import Chunk, mix, windows
 
 SAMPLE, SURE = 64, 24
+#: Bytes of text that are hashed at once.
+CHUNK = 500_000
 
 
 def shingle_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
@@ -56,21 +59,31 @@ def shingle_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
             yield mix(windows(h[lo:hi], hi - lo) + np.uint64(hi - lo)) if hi > lo else h[:0]
 
 
+def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Runs of rows with about `limit` bytes of text, and their texts, null as empty; a longer text stands alone.  A batch may be a hundred times larger."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, begin = np.cumsum(size), 0
+        while begin < len(size):
+            stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + limit, "right")))
+            part = batch.slice(begin, stop - begin)
+            yield part, [t or b"" for t in part.column(text).cast(pa.binary()).to_pylist()]
+            begin = stop
+
+
 def _list_sets(k: int, most: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for batch in batches:
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        for part, texts in pieces(batches, "text"):
             node, key, size, sample = [], [], [], []
-            for a, b in chunks(texts):
-                for text, s in zip(texts[a:b], shingle_sets(texts[a:b], k), strict=True):
-                    node.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    key.append(hashlib.md5(text).digest())
-                    size.append(len(s))
-                    sample.append(None if node[-1] in seen else s[:most].view(np.int64))
-                    if len(seen) < 200_000:
-                        seen.add(node[-1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.binary()), pa.array(key, pa.binary()), pa.array(size, pa.int64()), pa.array(sample, pa.list_(pa.int64()))], ["doc_id", "node", "tkey", "n", "sample"])
+            for text, s in zip(texts, shingle_sets(texts, k), strict=True):
+                node.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                key.append(hashlib.md5(text).digest())
+                size.append(len(s))
+                sample.append(None if node[-1] in seen else s[:most].view(np.int64))
+                if len(seen) < 200_000:
+                    seen.add(node[-1])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node, pa.binary()), pa.array(key, pa.binary()), pa.array(size, pa.int64()), pa.array(sample, pa.list_(pa.int64()))], ["doc_id", "node", "tkey", "n", "sample"])
 
     return run
 
@@ -130,11 +143,14 @@ class PrefixTree:
 
 def join_cluster(sets: list[np.ndarray], side: list[int] | None, copies: list[int], num: int, den: int) -> tuple[list[int], list[int]]:
     """(root, links) of each set.  side: None joins the sets among themselves, else those of side 0 with those of side 1."""
-    tokens, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    every = np.concatenate(sets)
+    every.sort()
+    first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+    tokens, count = every[first], np.diff(np.append(first, len(every)))
+    del every, first  # np.unique with the inverse takes several times the sets
     rank = np.empty(len(tokens), np.int32)
-    rank[np.lexsort((tokens, -count))] = np.arange(len(tokens), dtype=np.int32)
-    cut = np.cumsum([0, *map(len, sets)])
-    ranked = [np.sort(rank[inverse[cut[i] : cut[i + 1]]]) for i in range(len(sets))]
+    rank[np.argsort(-count, kind="stable")] = np.arange(len(tokens), dtype=np.int32)
+    ranked = [np.sort(rank[np.searchsorted(tokens, s)]) for s in sets]
     crossed = side is not None
     held = [i for i in range(len(sets)) if not crossed or side[i]]
     tree, sizes = PrefixTree([ranked[i] for i in held]), [len(ranked[i]) for i in held]
@@ -164,25 +180,23 @@ def join_cluster(sets: list[np.ndarray], side: list[int] | None, copies: list[in
 
 
 def _join_clusters(k: int, num: int, den: int):
-    keys = ("label", "i", "j")
-
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-        held: list[dict] = []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if held and any(row[c] != held[0][c] for c in keys):
-                    yield held
-                    held = []
-                held.append(row)
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[dict], list[np.ndarray]]]:
+        """The nodes of each group and their sets; of texts, only those of one piece are held."""
+        now, held = None, {}
+        for part, texts in pieces(batches, "text"):
+            for row, s in zip(part.drop_columns(["text"]).to_pylist(), shingle_sets(texts, k), strict=True):
+                key = (row["label"], row["i"], row["j"])
+                if held and key != now:
+                    yield [r for r, _ in held.values()], [x for _, x in held.values()]
+                    held = {}
+                now = key
+                held.setdefault((row["node"], row["side"]), (row, s))
         if held:
-            yield held
+            yield [r for r, _ in held.values()], [x for _, x in held.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for group in groups(batches):
-            rows = list({(r["node"], r["side"]): r for r in group}.values())
-            texts = [(r["text"] or "").encode() for r in rows]
-            sets = [s for a, b in chunks(texts) for s in shingle_sets(texts[a:b], k)]
+        for rows, sets in groups(batches):
             roots, links = join_cluster(sets, [r["side"] for r in rows] if rows[0]["i"] != rows[0]["j"] else None, [r["copies"] for r in rows], num, den)
             out += [(rows[i]["node"], rows[roots[i]]["node"], links[i]) for i in range(len(rows)) if links[i]]
             if len(out) > 20_000:
