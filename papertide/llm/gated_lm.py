@@ -10,6 +10,7 @@ kept and used again: fresh ones cost more, in page faults, than the arithmetic.
 
 from __future__ import annotations
 
+import heapq
 import math
 from dataclasses import dataclass, field
 
@@ -19,8 +20,22 @@ _F = np.float32
 #: Places of a window of scoring.
 PLACES = 8_192
 _UPDATE, _RESET, _NEW = 0, 1, 2
-#: What goes into the gates is halved in the weights: the logistic function is (1 + tanh(x / 2)) / 2.
-_SCALE = np.array([0.5, 0.5, 1], _F).reshape(3, 1, 1)
+#: What goes into the gates is negated in the weights: the logistic function is 1 / (1 + exp(-x)).
+_SCALE = np.array([-1, -1, 1], _F).reshape(3, 1, 1)
+
+
+def _lined_up(size: np.ndarray, rows: int) -> list[list[int]]:
+    """The numbers of the texts that are not empty, dealt to `rows` rows at most, the longest first, each to the shortest row; rows ascend by length."""
+    order = np.argsort(-size, kind="stable")
+    order = order[: np.count_nonzero(size)].tolist()
+    made: list[list[int]] = [[i] for i in order[:rows]]
+    lengths = [(int(size[r[0]]), k) for k, r in enumerate(made)]
+    heapq.heapify(lengths)
+    for i in order[rows:]:
+        n, k = lengths[0]
+        made[k].append(i)
+        heapq.heapreplace(lengths, (n + int(size[i]), k))
+    return [made[k] for _, k in sorted(lengths)]
 
 
 @dataclass
@@ -68,10 +83,11 @@ class GatedModel:
         """What each id puts into the gates, (3, ids, hidden)."""
         return (self.p["win"] + self.p["b"]) * _SCALE.astype(self.p["u"].dtype)
 
-    def _unrolled(self, ids: np.ndarray, first: np.ndarray, inner: np.ndarray | None = None, tables: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def _unrolled(self, ids: np.ndarray, first: np.ndarray, inner: np.ndarray | None = None, tables: np.ndarray | None = None, resets: dict[int, list[int]] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """ids (steps, rows), first (rows, hidden) -> states (rows + places, hidden) from first on, gates (3, places, hidden).
 
-        inner, if given, gets the recurrent part of the new state before its reset; tables, if given, are _tables().
+        inner, if given, gets the recurrent part of the new state before its reset; tables, if given, are _tables();
+        resets has the rows whose state is set to zero before a step.
         """
         p, n, (steps, rows) = self.p, self.hidden, ids.shape
         x, states = self._room("x", 3, ids.size, n), self._room("states", rows + ids.size, n)
@@ -81,22 +97,26 @@ class GatedModel:
             np.take(table, where, axis=0, out=x[gate], mode="clip")
         across, (gates, news), (pair, last) = p["u"] * scale, (x[:_NEW], x[_NEW]), (hu[:_NEW], hu[_NEW])
         states[:rows] = h = first
-        for a in range(0, ids.size, rows):
-            b = a + rows
-            np.matmul(h, across, out=hu)
-            both, new = gates[:, a:b], news[a:b]
-            both += pair
-            np.tanh(both, out=both)
-            both += 1
-            both *= 0.5
-            if inner is not None:
-                inner[a:b] = last
-            np.multiply(both[_RESET], last, out=rest)
-            new += rest
-            np.tanh(new, out=new)
-            np.subtract(h, new, out=rest)
-            rest *= both[_UPDATE]
-            h = np.add(rest, new, out=states[b : b + rows])
+        with np.errstate(over="ignore"):  # a gate that is shut: 1 / (1 + inf)
+            for a in range(0, ids.size, rows):
+                b = a + rows
+                if resets and a // rows in resets:
+                    h = h.copy()  # the state before it is still asked for
+                    h[resets[a // rows]] = 0
+                np.matmul(h, across, out=hu)
+                both, new = gates[:, a:b], news[a:b]
+                both += pair
+                np.exp(both, out=both)
+                both += 1
+                np.reciprocal(both, out=both)
+                if inner is not None:
+                    inner[a:b] = last
+                np.multiply(both[_RESET], last, out=rest)
+                new += rest
+                np.tanh(new, out=new)
+                np.subtract(h, new, out=rest)
+                rest *= both[_UPDATE]
+                h = np.add(rest, new, out=states[b : b + rows])
         return states, x
 
     def _picked(self, logits: np.ndarray, at: np.ndarray, divided: bool = False) -> np.ndarray:
@@ -139,37 +159,52 @@ class GatedModel:
     def score(self, texts: list[np.ndarray], rows: int = 512, steps: int = 8) -> np.ndarray:
         """The log10 probability of each text; the state is carried from window to window through the whole text.
 
-        Texts of like length go side by side.  A window reaches to the end of its shortest text, but for `steps` at least and
-        about PLACES places at most, so that a few long texts take few windows.
+        Texts stand one behind the other in `rows` rows of about equal length, the longest first, so that few steps have few rows;
+        where a text begins, its row's state is that after an end token.  A window reaches to the end of the shortest row, but for
+        `steps` at least and about PLACES places at most.
         """
-        out, size = np.zeros(len(texts)), np.array([len(t) for t in texts], np.int64)
-        order, tables = np.argsort(size, kind="stable"), self._tables()
-        for a in range(0, len(order), rows):
-            group = order[a : a + rows]
-            flat, longest = np.concatenate([texts[i] for i in group]), int(size[group].max())
-            stop = np.cumsum(size[group])
-            begin, alive = stop - size[group], np.arange(len(group))
-            h, before = np.zeros((len(group), self.hidden), self.p["u"].dtype), np.ones(len(group), flat.dtype)  # as after an end token
-            s = 0
-            while s < longest:
-                keep = size[group[alive]] > s
-                if not keep.all():
-                    alive, h, before = alive[keep], h[keep], before[keep]
-                least = int(size[group[alive[0]]]) - s
-                width = min(longest - s, max(steps, min(least, PLACES // len(alive))))
-                at = begin[alive] + s + np.arange(width)[:, None]
-                real = at < stop[alive]
-                ids = flat[np.where(real, at, 0)]
-                states, _ = self._unrolled(np.concatenate([before[None], ids[:-1]]), h, tables=tables)
-                h, before = states[-len(alive) :].copy(), ids[-1]
-                states = states[len(alive) :]
-                if real.all():
-                    got, mine = self.log_probs(states, ids.reshape(-1)).reshape(ids.shape).sum(0), alive
-                else:
-                    chosen = np.flatnonzero(real)
-                    got, mine = self.log_probs(states[chosen], ids.reshape(-1)[chosen]), alive[chosen % len(alive)]
-                out[group] += np.bincount(mine, got, len(group))
-                s += width
+        size = np.array([len(t) for t in texts], np.int64)
+        out, tables, lined = np.zeros(len(texts)), self._tables(), _lined_up(size, rows)
+        if not lined:
+            return out
+        order = np.concatenate(lined)
+        flat = np.concatenate([texts[i] for i in order])
+        owner = np.repeat(order.astype(np.uint16 if len(texts) <= 1 << 16 else np.int64), size[order])
+        first = np.cumsum(size[order]) - size[order]  # where texts begin
+        before = np.append(flat.dtype.type(1), flat[:-1])
+        before[first] = 1
+        length = np.array([int(size[r].sum()) for r in lined])
+        stop = np.cumsum(length)
+        begin, alive, s = stop - length, np.arange(len(lined)), 0
+        row = np.repeat(alive, [len(r) for r in lined])
+        at_step = first - begin[row]
+        sooner = np.argsort(at_step, kind="stable")
+        start_step, start_row, done = at_step[sooner], row[sooner], 0
+        h = np.zeros((len(alive), self.hidden), self.p["u"].dtype)
+        while s < length[-1]:
+            keep = length[alive] > s
+            if not keep.all():
+                alive, h = alive[keep], h[keep]
+            width = int(min(length[-1] - s, max(steps, min(length[alive[0]] - s, PLACES // len(alive)))))
+            at = begin[alive] + s + np.arange(width)[:, None]
+            real = at < stop[alive]
+            whole = real.all()
+            if not whole:
+                at[~real] = 0
+            until = int(np.searchsorted(start_step, s + width))
+            resets: dict[int, list[int]] = {}
+            where = np.searchsorted(alive, start_row[done:until]).tolist()  # a row that a text begins in is alive
+            for step, r in zip((start_step[done:until] - s).tolist(), where, strict=True):
+                resets.setdefault(step, []).append(r)
+            done = until
+            states, _ = self._unrolled(before[at], h, tables=tables, resets=resets)
+            h, states = states[-len(alive) :].copy(), states[len(alive) :]
+            places = at.reshape(-1)
+            if not whole:
+                chosen = np.flatnonzero(real)
+                states, places = states[chosen], places[chosen]
+            out += np.bincount(owner[places], self.log_probs(states, flat[places]), len(texts))
+            s += width
         return out / math.log(10)
 
     def train(self, stream: np.ndarray, epochs: int = 2, rows: int = 32, steps: int = 16, rate: float = 0.01) -> list[float]:
