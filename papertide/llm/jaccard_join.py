@@ -34,17 +34,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papertide.llm.components import components
-from papertide.llm.shared import join_salted, own, written
+from papertide.llm.shared import join_salted, own, pieces, written
 from papertide.llm.words import Chunk, mix, windows
 
 SAMPLE, SURE = 64, 24
-#: Bytes of text that are hashed at once.
-CHUNK = 500_000
 
 
 def shingle_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
@@ -59,18 +56,6 @@ def shingle_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
             yield mix(windows(h[lo:hi], hi - lo) + np.uint64(hi - lo)) if hi > lo else h[:0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Runs of rows with about `limit` bytes of text, and their texts, null as empty; a longer text stands alone.  A batch may be a hundred times larger."""
-    for batch in batches:
-        size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        ends, begin = np.cumsum(size), 0
-        while begin < len(size):
-            stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + limit, "right")))
-            part = batch.slice(begin, stop - begin)
-            yield part, [t or b"" for t in part.column(text).cast(pa.binary()).to_pylist()]
-            begin = stop
-
-
 def _list_sets(k: int, most: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papertide.llm.shared import own, written
+from papertide.llm.shared import own, pieces, written
 
 SYMBOLS = b"#*$%&|<>"
 _BLANK = b" \t\n\x0b\x0c\r"
@@ -55,8 +55,7 @@ def base_stats(text: bytes) -> tuple[int, int, int, int, int]:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
+    for batch, texts in pieces(batches, "text"):
         hosts = batch.column(3).to_pylist()
         stats, keys, sizes, content = [], [], [], []
         for text, host in zip(texts, hosts, strict=True):

@@ -31,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papertide.llm.shared import own, row_key, written
-from papertide.llm.words import Chunk, chunks, sliding_min, windows
+from papertide.llm.shared import CHUNK, own, parts, pieces, row_key, written
+from papertide.llm.words import Chunk, sliding_min, windows
 
 #: A minimiser is heavy if it has more than this part of all places of shared minimisers.
 HEAVY = 2_000
+#: Places of windows of hot buckets that a task combines before they travel, about.
+PLACES = 50_000
 _SUPER, _WINDOW, _REPEATED, _COVERED = 0, 1, 2, 3
 _ROUTED = pa.schema([("route", pa.int64()), ("kind", pa.int8()), ("rid", pa.binary()), ("start", pa.int32()), ("stop", pa.int32()), ("packed", pa.binary())])
 
@@ -68,33 +70,32 @@ def super_kmers(chunk: Chunk, k: int, m: int) -> tuple[np.ndarray, ...]:
     return first, last, chunk.text_of_word()[first], value.view(np.int64), twice
 
 
-def _texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
-    return [t or b"" for t in batch.column(batch.schema.names.index(name)).cast(pa.binary()).to_pylist()]
-
-
 def _routes(k: int, m: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, rids = _texts(batch, "text"), batch.column(batch.schema.names.index("rid"))
-            for a, b in chunks(texts):
-                chunk = Chunk(texts[a:b])
-                _, _, text, value, twice = super_kmers(chunk, k, m)
-                offsets = np.searchsorted(text, np.arange(b - a + 1)).astype(np.int32)
-                lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(offsets), pa.array(x, kind))  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([rids.slice(a, b - a), lists(value, pa.int64()), lists(twice.astype(np.int8) + 1, pa.int8())], ["rid", "routes", "times"])
+        for part, texts in pieces(batches, "text"):
+            _, _, text, value, twice = super_kmers(Chunk(texts), k, m)
+            offsets = np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32)
+            lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(offsets), pa.array(x, kind))  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([part.column("rid"), lists(value, pa.int64()), lists(twice.astype(np.int8) + 1, pa.int8())], ["rid", "routes", "times"])
 
     return run
 
 
 def _pack(k: int, m: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, at = _texts(batch, "text"), batch.schema.names.index
-            rids, wanted = batch.column(at("rid")).to_pylist(), batch.column(at("wanted"))
-            for a, b in chunks(texts):
-                yield from packed(Chunk(texts[a:b]), rids[a:b], wanted.slice(a, b - a))
+        seen: dict[bytes, list[tuple[bytes, int]]] = {}  # windows of hot buckets, by digest
+        held = 0
+        for part, texts in pieces(batches, "text"):
+            rows, places = packed(Chunk(texts), part.column("rid").to_pylist(), part.column("wanted"), seen)
+            yield rows
+            held += places
+            if held >= PLACES:
+                yield combined(seen)
+                seen, held = {}, 0
+        if seen:
+            yield combined(seen)
 
-    def packed(chunk: Chunk, rids: list[bytes], wanted: pa.ListArray) -> Iterator[pa.RecordBatch]:
+    def packed(chunk: Chunk, rids: list[bytes], wanted: pa.ListArray, seen: dict[bytes, list[tuple[bytes, int]]]) -> tuple[pa.RecordBatch, int]:
         first, last, text, value, _ = super_kmers(chunk, k, m)
         before = np.searchsorted(text, np.arange(len(rids)))
         flat = wanted.flatten()
@@ -107,25 +108,27 @@ def _pack(k: int, m: int):
         ids = [rids[t] for t in text[cold]]
         place = (first - chunk.lo[text])[cold].astype(np.int32)
         strings = [raw[i:j] for i, j in zip(s[first[cold]].tolist(), e[last[cold] + k - 1].tolist(), strict=True)]
-        yield _batch(value[cold], np.full(len(cold), _SUPER, np.int8), ids, place, place, strings)
-        seen: dict[bytes, list[tuple[int, int]]] = {}
+        places = 0
         for f, z, t in zip(first[hot].tolist(), last[hot].tolist(), text[hot].tolist(), strict=True):
-            words = raw[s[f] : e[z + k - 1]].split()
+            words, at = raw[s[f] : e[z + k - 1]].split(), f - int(chunk.lo[t])
+            places += z - f + 1
             for i in range(z - f + 1):
-                seen.setdefault(hashlib.blake2b(b" ".join(words[i : i + k]), digest_size=16).digest(), []).append((t, f + i - int(chunk.lo[t])))
-        if seen:
-            rows: list[tuple] = []
-            covered: dict[int, list[int]] = {}
-            for digest, places in seen.items():
-                t, p = places[0]
-                rows.append((int.from_bytes(digest[:8], "little", signed=True), _WINDOW if len(places) == 1 else _REPEATED, rids[t], p, p + k, digest))
-                if len(places) > 1:
-                    for t, p in places:
-                        covered.setdefault(t, []).append(p)
-            for t, places in covered.items():
-                for i, j in intervals(np.sort(np.array(places)), k):
-                    rows.append((int.from_bytes(rids[t][:8], "little", signed=True), _COVERED, rids[t], i, j, None))
-            yield _batch(*(list(c) for c in zip(*rows, strict=True)))
+                seen.setdefault(hashlib.blake2b(b" ".join(words[i : i + k]), digest_size=16).digest(), []).append((rids[t], at + i))
+        return _batch(value[cold], np.full(len(cold), _SUPER, np.int8), ids, place, place, strings), places
+
+    def combined(seen: dict[bytes, list[tuple[bytes, int]]]) -> pa.RecordBatch:
+        rows: list[tuple] = []
+        covered: dict[bytes, list[int]] = {}
+        for digest, places in seen.items():
+            rid, p = places[0]
+            rows.append((int.from_bytes(digest[:8], "little", signed=True), _WINDOW if len(places) == 1 else _REPEATED, rid, p, p + k, digest))
+            if len(places) > 1:
+                for rid, p in places:
+                    covered.setdefault(rid, []).append(p)
+        for rid, places in covered.items():
+            for i, j in intervals(np.sort(np.array(places)), k):
+                rows.append((int.from_bytes(rid[:8], "little", signed=True), _COVERED, rid, i, j, None))
+        return _batch(*(list(c) for c in zip(*rows, strict=True)))
 
     return run
 
@@ -180,12 +183,12 @@ def repeated_windows(strings: list[bytes], k: int) -> tuple[Chunk, np.ndarray]:
     return chunk, found
 
 
-def _count(k: int, limit: int = 2_000_000):
+def _count(k: int, limit: int = CHUNK):
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         """Whole buckets together, about `limit` bytes at a time."""
         held: list[pa.RecordBatch] = []
         size = 0
-        for batch in batches:
+        for batch in parts(batches, "packed", limit):
             held.append(batch)
             size += batch.nbytes
             if size >= limit:
@@ -227,10 +230,9 @@ def _count(k: int, limit: int = 2_000_000):
 
 def _strip(id_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.names.index
+        for batch, texts in pieces(batches, "text"):
             n_words, n_removed, digest, kept_text = [], [], [], []
-            for text, spans in zip(_texts(batch, "text"), batch.column(at("spans")), strict=True):
+            for text, spans in zip(texts, batch.column("spans"), strict=True):
                 words = text.split()
                 n_words.append(len(words))
                 if spans.is_valid:
@@ -243,7 +245,7 @@ def _strip(id_col: str):
                 kept = b" ".join(words)
                 digest.append(hashlib.sha256(kept).hexdigest())
                 kept_text.append(kept)
-            yield pa.RecordBatch.from_arrays([batch.column(at("doc_id")), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string()), pa.array(kept_text, pa.binary()).cast(pa.string()), batch.column(at("rid"))], [id_col, "n_words", "n_removed", "kept_sha256", "kept_text", "rid"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string()), pa.array(kept_text, pa.binary()).cast(pa.string()), batch.column("rid")], [id_col, "n_words", "n_removed", "kept_sha256", "kept_text", "rid"])
 
     return run
 
