@@ -19,6 +19,10 @@ import numpy as np
 _F = np.float32
 #: Places of a window of scoring.
 PLACES = 8_192
+#: Parameters that a step of Adam takes at once: all arrays of a block stay in the cache.
+BLOCK = 1 << 14
+#: A run of more rows is summed alone, shorter ones side by side.
+LONG = 16
 _UPDATE, _RESET, _NEW = 0, 1, 2
 #: What goes into the gates is negated in the weights: the logistic function is 1 / (1 + exp(-x)).
 _SCALE = np.array([-1, -1, 1], _F).reshape(3, 1, 1)
@@ -44,18 +48,17 @@ class GatedModel:
     hidden: int = 24
     seed: int = 11
     p: dict[str, np.ndarray] = field(default_factory=dict)
+    _into: dict[str, np.ndarray] | None = field(default=None, init=False, repr=False)
 
     def __post_init__(self) -> None:
-        given = self.p
         self.width = max(1, math.isqrt(max(0, self.n_vocab - 1)) + 1)
         self.classes = -(-self.n_vocab // self.width)
         self._kept: dict[str, np.ndarray] = {}
+        if self.p:
+            return
         r, h = np.random.default_rng(self.seed), self.hidden
         init = lambda *s: r.normal(0, 0.08, s).astype(_F)
         self.p = {"win": init(3, self.n_vocab, h), "u": init(3, h, h), "b": np.zeros((3, 1, h), _F), "wc": init(h, self.classes), "bc": np.zeros(self.classes, _F), "ww": init(self.classes, h, self.width), "bw": np.zeros((self.classes, self.width), _F)}
-        if given:
-            self.p = given
-            return
         spare = self.classes * self.width - self.n_vocab
         if spare:  # the last class is not full
             self.p["bw"][-1, self.width - spare :] = -1e9
@@ -119,29 +122,38 @@ class GatedModel:
                 h = np.add(rest, new, out=states[b : b + rows])
         return states, x
 
-    def _picked(self, logits: np.ndarray, at: np.ndarray, divided: bool = False) -> np.ndarray:
-        """Log probabilities of the entry at of each place; logits become the probabilities, if these are to be divided by their sums."""
+    def _picked(self, logits: np.ndarray, at: np.ndarray, share: float = 0.0) -> np.ndarray:
+        """Log probabilities of the entry at of each place; with a share, logits become the gradients of that share of the losses."""
+        where = at * np.int64(len(at)) + np.arange(len(at))
         logits -= logits.max(0)
-        chosen = logits[at, np.arange(len(at))]
+        chosen = logits.reshape(-1)[where]
         np.exp(logits, out=logits)
         total = logits.sum(0)
-        if divided:
-            logits *= np.reciprocal(total)
+        if share:
+            logits *= share / total
+            logits.reshape(-1)[where] -= logits.dtype.type(share)
         return chosen - np.log(total)
 
-    def _classes_of(self, states: np.ndarray) -> np.ndarray:
-        logits = np.matmul(self.p["wc"].T, states.T, out=self._room("classes", self.classes, len(states)))
-        logits += self.p["bc"][:, None]
-        return logits
+    def _with_one(self, states: np.ndarray) -> np.ndarray:
+        """states with a column of ones, which takes the biases into the products."""
+        out = self._room("with_one", len(states), self.hidden + 1)
+        out[:, :-1], out[:, -1] = states, 1
+        return out
 
-    def _within(self, states: np.ndarray, cuts: list[int]) -> np.ndarray:
+    def _biased(self) -> tuple[np.ndarray, np.ndarray]:
+        """The weights of the classes and of the words within them, each with its biases as a last row."""
+        p = self.p
+        return np.concatenate([p["wc"], p["bc"][None]]), np.concatenate([p["ww"], p["bw"][:, None]], axis=1)
+
+    def _classes_of(self, states: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        return np.matmul(weights.T, states.T, out=self._room("classes", self.classes, len(states)))
+
+    def _within(self, states: np.ndarray, weights: np.ndarray, cuts: list[int]) -> np.ndarray:
         """Logits within the classes; states are sorted by class, cuts[c] is where class c begins."""
         logits = self._room("within", self.width, len(states))
-        for c in range(self.classes):
-            a, b = cuts[c], cuts[c + 1]
+        for c, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             if b > a:
-                part = np.matmul(self.p["ww"][c].T, states[a:b].T, out=logits[:, a:b])
-                part += self.p["bw"][c][:, None]
+                np.matmul(weights[c].T, states[a:b].T, out=logits[:, a:b])
         return logits
 
     def _by_class(self, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
@@ -152,8 +164,10 @@ class GatedModel:
     def log_probs(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """states (n, hidden) -> natural logarithms of the probabilities of the targets, float64."""
         cls, within, order, cuts = self._by_class(targets)
-        out = self._picked(self._classes_of(states), cls).astype(np.float64)
-        out[order] += self._picked(self._within(states[order], cuts), within[order])
+        states, (classes, words) = self._with_one(states), self._biased()
+        out = self._picked(self._classes_of(states, classes), cls).astype(np.float64)
+        ranked = np.take(states, order, axis=0, out=self._room("ranked", *states.shape), mode="clip")
+        out[order] += self._picked(self._within(ranked, words, cuts), within[order])
         return out
 
     def score(self, texts: list[np.ndarray], rows: int = 512, steps: int = 8) -> np.ndarray:
@@ -216,26 +230,32 @@ class GatedModel:
         values = self.flat()
         self.set_flat(values)
         m, v, step, root = (np.zeros_like(values) for _ in range(4))
+        self._into, gradients = self._views(step), step  # windows write their gradients there
+        blocks = [tuple(each[a : a + BLOCK] for each in (values, m, v, step, root)) for a in range(0, len(values), BLOCK)]
         k, losses = 0, []
         for _ in range(epochs):
             h, total, seen = np.zeros((rows, self.hidden), values.dtype), 0.0, 0
             for s in range(0, n, steps):
-                loss, grads, h = self._window(np.ascontiguousarray(x[s : s + steps]), np.ascontiguousarray(y[s : s + steps]), h)
+                loss, _, h = self._window(np.ascontiguousarray(x[s : s + steps]), np.ascontiguousarray(y[s : s + steps]), h)
                 total, seen, k = total + loss, seen + x[s : s + steps].size, k + 1
-                g = np.concatenate([grads[a].reshape(-1) for a in self.p], out=step)
-                g *= min(1.0, 1.0 / max(math.sqrt(float(g @ g)), 1e-9))
-                m *= 0.9  # the moments without their weights 0.1 and 0.01, which the scale below brings in
-                m += g
-                g *= g
-                v *= 0.99
-                v += g
+                shorter = min(1.0, 1.0 / max(math.sqrt(float(gradients @ gradients)), 1e-9))
                 deviation = math.sqrt(0.01 / (1 - 0.99**k))
-                np.sqrt(v, out=root)
-                root += 1e-6 / deviation
-                np.divide(m, root, out=step)
-                step *= rate * 0.1 / (1 - 0.9**k) / deviation
-                values -= step
+                least, scale = 1e-6 / deviation, rate * 0.1 / (1 - 0.9**k) / deviation
+                for value, mean, square, g, r in blocks:
+                    if shorter < 1:
+                        g *= shorter
+                    mean *= 0.9  # the moments without their weights 0.1 and 0.01, which the scale brings in
+                    mean += g
+                    g *= g
+                    square *= 0.99
+                    square += g
+                    np.sqrt(square, out=r)
+                    r += least
+                    np.divide(mean, r, out=g)
+                    g *= scale
+                    value -= g
             losses.append(total / max(1, seen))
+        self._into = None
         return losses
 
     def _window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
@@ -245,77 +265,83 @@ class GatedModel:
         all_states, gates = self._unrolled(x, h, inner)
         before, states = all_states[:size], all_states[rows:]
         cls, within, order, cuts = self._by_class(y.reshape(-1))
-        places = np.arange(size)
+        g = self._into or {k: np.empty_like(v) for k, v in p.items()}
         # The classes, then the words within them: the probabilities less one at the targets are the gradients of the logits.
-        prob = self._classes_of(states)
-        loss = -float(self._picked(prob, cls, True).sum())
-        prob[cls, places] -= 1
-        g = {"wc": (prob @ states).T, "bc": prob.sum(1)}
+        ones, (classes, words) = self._with_one(states), self._biased()
+        prob = self._classes_of(ones, classes)
+        loss = -float(self._picked(prob, cls, 1 / size).sum())
+        both = prob @ ones
+        g["wc"][:], g["bc"][:] = both[:, :n].T, both[:, n]
         dh = np.matmul(prob.T, p["wc"].T, out=self._room("dh", size, n))
-        ranked, back = self._room("ranked", size, n), self._room("back", size, n)
-        np.take(states, order, axis=0, out=ranked, mode="clip")
-        q = self._within(ranked, cuts)
-        loss -= float(self._picked(q, within[order], True).sum())
-        q[within[order], places] -= 1
-        g["ww"], g["bw"] = np.zeros_like(p["ww"]), np.zeros_like(p["bw"])
+        ranked, back = self._room("ranked", size, n + 1), self._room("back", size, n)
+        np.take(ones, order, axis=0, out=ranked, mode="clip")
+        q = self._within(ranked, words, cuts)
+        loss -= float(self._picked(q, within[order], 1 / size).sum())
+        of_words = self._room("of_words", *words.shape)
         for c in range(self.classes):
             a, b = cuts[c], cuts[c + 1]
             if b > a:
-                np.matmul(ranked[a:b].T, q[:, a:b].T, out=g["ww"][c])
-                np.matmul(q[:, a:b].T, p["ww"][c].T, out=back[a:b])
-        used = np.flatnonzero(np.diff(cuts))
-        g["bw"][used] = np.add.reduceat(q, np.array(cuts)[used], axis=1).T
+                part = q[:, a:b].T
+                np.matmul(ranked[a:b].T, part, out=of_words[c])
+                np.matmul(part, p["ww"][c].T, out=back[a:b])
+            else:
+                of_words[c] = 0
+        g["ww"][:], g["bw"][:] = of_words[:, :n], of_words[:, n]
         place = np.empty_like(order)
-        place[order] = places
-        dh += np.take(back, place, axis=0, out=ranked, mode="clip")
+        place[order] = np.arange(size)
+        dh += np.take(back, place, axis=0, out=self._room("unranked", size, n), mode="clip")
         # Through the steps, last first; what does not depend on the gradient is there for all steps at once.
         z, r, c = gates
-        to_z, to_r, to_c, one = (self._room(k, size, n) for k in ("to_z", "to_r", "to_c", "back"))
+        one, some, to_c, du = self._room("back", size, n), self._room("unranked", size, n), self._room("to_c", size, n), self._room("du", size, 3, n)
         np.subtract(1, z, out=one)
-        np.subtract(before, c, out=to_z)
-        to_z *= z
-        to_z *= one
+        np.subtract(before, c, out=some)
+        some *= z
+        np.multiply(some, one, out=du[:, _UPDATE])
         np.multiply(c, c, out=to_c)
         np.subtract(1, to_c, out=to_c)
         to_c *= one
-        np.subtract(1, r, out=to_r)
-        to_r *= r
-        to_r *= inner
-        du = self._room("du", size, 3, n)
+        np.multiply(to_c, r, out=du[:, _NEW])
+        np.subtract(1, r, out=some)
+        some *= r
+        some *= inner
+        np.multiply(some, to_c, out=du[:, _RESET])
         carry, step = self._room("rest", rows, n), self._room("hu", rows, n)
         carry[:] = 0
         across = np.ascontiguousarray(p["u"].transpose(0, 2, 1)).reshape(3 * n, n)
         for a in range(size - rows, -1, -rows):
-            at = slice(a, a + rows)
-            d, back = dh[at], du[at]
+            d, back = dh[a : a + rows], du[a : a + rows]
             d += carry
-            np.multiply(d, to_z[at], out=back[:, _UPDATE])
-            new = np.multiply(d, to_c[at], out=to_c[at])
-            np.multiply(new, to_r[at], out=back[:, _RESET])
-            np.multiply(new, r[at], out=back[:, _NEW])
+            back *= d[:, None]
             np.matmul(back.reshape(rows, 3 * n), across, out=step)
-            np.multiply(d, z[at], out=carry)
+            np.multiply(d, z[a : a + rows], out=carry)
             carry += step
         apart = lambda v: v.reshape(-1, 3, n).transpose(1, 0, 2)
-        g["u"] = apart(before.T @ du.reshape(size, 3 * n)).copy()
-        du[:, _NEW] = to_c  # from here on what goes into the gates: the new state's without its reset
+        g["u"][:] = apart(before.T @ du.reshape(size, 3 * n))
+        np.multiply(dh, to_c, out=du[:, _NEW])  # from here on what goes into the gates: the new state's without its reset
         ids, summed = self._by_id(x.reshape(-1), du.reshape(size, 3 * n))
-        g["win"], g["b"] = np.zeros_like(p["win"]), apart(summed.sum(0)).copy()
+        g["b"][:] = apart(summed.sum(0))
+        g["win"][:] = 0
         g["win"][:, ids] = apart(summed)
-        for a in g.values():
-            a /= size
         return loss, g, states[size - rows :].copy()
 
     def _by_id(self, where: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids that occur, ascending, and the sum of the rows of each."""
         order = np.argsort(where, kind="stable")
-        ranked = np.take(rows, order, axis=0, out=self._room("dx", *rows.shape), mode="clip")
         there = where[order]
         begin = np.flatnonzero(np.append(True, there[1:] != there[:-1]))
-        # The commonest ids come first and have long runs, which a plain sum adds faster.
-        few = begin[: self.width + 1].tolist()
+        length = np.diff(np.append(begin, len(there)))
         out = np.empty((len(begin), rows.shape[1]), rows.dtype)
-        for k, (a, b) in enumerate(zip(few[:-1], few[1:], strict=True)):
-            np.add.reduce(ranked[a:b], axis=0, out=out[k])
-        out[len(few) - 1 :] = np.add.reduceat(ranked, begin[len(few) - 1 :], axis=0)
+        for k in np.flatnonzero(length > LONG).tolist():
+            a, b = int(begin[k]), int(begin[k] + length[k])
+            np.add.reduce(np.take(rows, order[a:b], axis=0, out=self._room("dx", b - a, rows.shape[1]), mode="clip"), axis=0, out=out[k])
+        # The other ids, the longest runs first: their first rows, then the second of those that have one, and so on.
+        short = np.flatnonzero(length <= LONG)
+        short = short[np.argsort(-length[short], kind="stable")]
+        first, longer = begin[short], np.searchsorted(-length[short], -np.arange(LONG + 1)).tolist()  # longer[i] have more than i rows
+        total = rows[order[first]]
+        for i in range(1, LONG):
+            if not longer[i]:
+                break
+            total[: longer[i]] += rows[order[first[: longer[i]] + i]]
+        out[short] = total
         return there[begin], out

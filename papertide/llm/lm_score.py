@@ -33,8 +33,10 @@ from papertide.llm.shared import new_folder, own, written
 from papertide.llm.words import Chunk, chunks
 
 UNKNOWN, END = 0, 1
-#: Bytes of text that are hashed at once.
-CHUNK = 500_000
+#: Bytes of text that are hashed at once: arrays of eight bytes for each stay in the cache.
+CHUNK = 60_000
+#: Hashes of training words that are counted at once, about.
+COUNTED = 1 << 19
 #: Bytes of text that are scored together; a longer text stands alone.
 GROUP = 16_000_000
 #: Training tokens outside the vocabulary that a shard of the corpus counts looks up, about.
@@ -50,14 +52,27 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [(t or b"").lower() for t in batch.column(1).cast(pa.binary()).to_pylist()]
 
 
+def _added(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of hashes and counts -> the distinct hashes, ascending, and their counts added up."""
+    h, n = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+    order = np.argsort(h)
+    h = h[order]
+    begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    return h[begin], np.add.reduceat(n[order], begin)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [t for t, i in zip(_texts(batch), batch.column(0).to_pylist(), strict=True) if not is_held_out(i)]
-        found = [np.unique(Chunk(texts[a:b]).hashes(), return_counts=True) for a, b in chunks(texts, CHUNK)]
+        found, held, size = [], [], 0
+        for a, b in chunks(texts, CHUNK):
+            held.append(Chunk(texts[a:b]).hashes())
+            size += len(held[-1])
+            if size > COUNTED or b == len(texts):
+                found.append(np.unique(np.concatenate(held), return_counts=True))
+                held, size = [], 0
         if texts:
-            found.append((np.array([_END_HASH]), np.array([len(texts)])))
-            h, inverse = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
-            n = np.bincount(inverse, np.concatenate([f[1] for f in found])).astype(np.int64)
+            h, n = _added([*found, (np.array([_END_HASH]), np.array([len(texts)]))])
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "c"])
 
 
@@ -65,17 +80,37 @@ class Vocabulary:
     """Ids of hashes: UNKNOWN, END, then words, commonest first."""
 
     def __init__(self, top: list[tuple[int, int]], end_count: int):
-        hashes = np.array([h for h, _ in top], np.int64).view(np.uint64)
-        order = np.argsort(hashes)
-        self.sorted, self.ids = hashes[order], order + 2
+        self.hashes = np.array([0, 0, *(h for h, _ in top)], np.int64).view(np.uint64)
         self.counts = np.array([0, end_count, *(c for _, c in top)], np.float64)
         self.size = len(self.counts)
+        self.small = np.uint16 if self.size <= 1 << 16 else np.uint32
+        self._table: tuple[np.uint64, np.uint64, np.ndarray, np.ndarray] | None = None  # made where it is asked for: tasks are sent without it
 
     def of(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.sorted):
-            return np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == h, self.ids[at], UNKNOWN)
+        if self._table is None:
+            self._table = self._slots()
+        shift, mask, table, others = self._table
+        ids = table[((h >> shift) & mask).view(np.int64)]
+        missed = self.hashes[ids] != h
+        ids[missed] = UNKNOWN
+        if len(others):
+            missed = np.flatnonzero(missed)
+            found = others[np.minimum(np.searchsorted(self.hashes[others], h[missed]), len(others) - 1)]
+            ids[missed] = np.where(self.hashes[found] == h[missed], found, UNKNOWN)
+        return ids
+
+    def _slots(self) -> tuple[np.uint64, np.uint64, np.ndarray, np.ndarray]:
+        """Some bits of a hash are the place of its id in a table, bits that tell all hashes apart if there are such; the ids without a place, by hash."""
+        bits = min(22, max(18, 8 + self.size.bit_length()))
+        mask, words, every = np.uint64((1 << bits) - 1), self.hashes[2:], np.arange(2, self.size).astype(self.small)
+        for shift in np.arange(65 - bits, dtype=np.uint64):
+            slots, which = np.unique((words >> shift) & mask, return_index=True)
+            if len(slots) == len(words):
+                break
+        table = np.zeros(1 << bits, self.small)
+        table[slots.astype(np.int64)] = every[which]
+        others = np.delete(every, which)
+        return shift, mask, table, others[np.argsort(self.hashes[others])]
 
 
 def _score(vocabulary: Vocabulary, model: GatedModel, shards: int):
@@ -94,7 +129,7 @@ def _score(vocabulary: Vocabulary, model: GatedModel, shards: int):
         n_tokens, n_top = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         top_sum = np.zeros(len(texts))
         rare_h, rare_doc, sequences = [], [], []
-        small = np.uint16 if vocabulary.size <= 1 << 16 else np.uint32
+        small = vocabulary.small
         for a, b in chunks(texts, CHUNK):
             chunk = Chunk(texts[a:b])
             h, owner = chunk.hashes(), chunk.text_of_word()
@@ -103,7 +138,6 @@ def _score(vocabulary: Vocabulary, model: GatedModel, shards: int):
             n_tokens[a:b] = chunk.hi - chunk.lo + 1
             n_top[a:b] = np.bincount(owner[known], minlength=b - a) + (vocabulary.counts[END] > 0)
             top_sum[a:b] = np.bincount(owner[known], np.log10(vocabulary.counts[v[known]] + 1), b - a) + np.log10(vocabulary.counts[END] + 1)
-            v = v.astype(small)
             sequences += [np.append(v[i:j], small(END)) for i, j in zip(chunk.lo.tolist(), chunk.hi.tolist(), strict=True)]
             rare_h.append(h[~known])
             rare_doc.append(owner[~known] + a)
@@ -178,7 +212,7 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sequences(vocabulary: Vocabulary):
     """(lot, key, text) -> (lot, key, ids): the ids of the words and the end."""
-    small = np.uint16 if vocabulary.size <= 1 << 16 else np.uint32
+    small = vocabulary.small
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,7 +220,7 @@ def _sequences(vocabulary: Vocabulary):
             ids: list[bytes] = []
             for a, b in chunks(texts, CHUNK):
                 chunk = Chunk(texts[a:b])
-                v = vocabulary.of(chunk.hashes()).astype(small)
+                v = vocabulary.of(chunk.hashes())
                 ids += [np.append(v[i:j], small(END)).tobytes() for i, j in zip(chunk.lo.tolist(), chunk.hi.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["lot", "key", "ids"])
 
