@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from papertide.functions.text import clean_aux, clean_document, clean_slide, is_blank, normalize_source, resolve_target, rtrim_lines, strip_heading_codes
-from papertide.operators.lines import in_order, joined, keep_first, keep_last
+from papertide.functions.text import clean_document, clean_slide, is_blank, normalize_source, resolve_target, rtrim_lines
+from papertide.operators.lines import in_order, joined, keep_last
 
 SECTION = ["doc_id", "sec_ord", "sub_ord", "name", "text"]
 
@@ -60,33 +60,15 @@ def pptx(items: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [body, text_parts(items, "pptx", "note", 1, "=== Notes ===\n"), text_parts(items, "pptx", "comment", 2, "=== Comments ===\n"), text_parts(items, "pptx", "master", 3, "=== Layout ===\n")])
 
 
-def cell_values(items: DataFrame) -> DataFrame:
-    """(doc_id, part, i, j, value): shared strings looked up; empty cells are left out."""
-    cells = _of(items, "xlsx", "cell").select("doc_id", "part", "i", "j", F.col("a").alias("type"), F.col("b").alias("raw"))
-    own = cells.where("type <> 's'").select("doc_id", "part", "i", "j", F.col("raw").alias("value"))
-    index = F.when(F.regexp_replace("raw", r"^\s+|\s+$", "").rlike(r"^[+-]?[0-9]{1,9}$"), F.regexp_replace("raw", r"\s+", "")).cast("int")
-    strings = _of(items, "xlsx", "string").select("doc_id", F.col("i").alias("idx"), F.col("a").alias("value"))
-    shared = cells.where("type = 's'").withColumn("idx", index).join(strings, ["doc_id", "idx"]).select("doc_id", "part", "i", "j", "value")
-    return own.unionByName(shared).where("value <> ''")
-
-
-def sheet_grids(items: DataFrame) -> DataFrame:
-    """(doc_id, part, grid): lines of tab-separated cells, then the distinct page headings."""
-    lines = cell_values(items).groupBy("doc_id", "part", "i").agg(joined("value", "\t", "j").alias("line"))
-    headings = _of(items, "xlsx", "heading").select("doc_id", "part", "i", strip_heading_codes(F.col("a")).alias("line")).where("line <> ''")
-    headings = keep_first(headings, ["doc_id", "part", "line"], "i")
-    both = lines.select("doc_id", "part", F.lit(0).alias("zone"), "i", "line").unionByName(headings.select("doc_id", "part", F.lit(1).alias("zone"), "i", "line"))
-    return both.groupBy("doc_id", "part").agg(joined("line", "\n", "zone", "i").alias("grid"))
-
-
 def sheet_order(items: DataFrame) -> DataFrame:
     sheets = _of(items, "xlsx", "part").where(F.col("part").startswith("xl/worksheets/sheet") & F.col("part").endswith(".xml")).select("doc_id", "part_no", "part")
     return with_fallback(targets(items, "xlsx", "xl"), sheets)
 
 
 def xlsx(items: DataFrame) -> DataFrame:
-    sheets = sheet_order(items).join(sheet_grids(items), ["doc_id", "part"], "left")
-    text = rtrim_lines(F.concat(F.lit("=== Sheet: "), F.coalesce("title", F.lit("")), F.lit(" ===\n"), F.coalesce("grid", F.lit(""))))
+    grids = _of(items, "xlsx", "grid").select("doc_id", "part", F.concat(F.lit("\n"), "a").alias("grid"))
+    sheets = sheet_order(items).join(grids, ["doc_id", "part"], "left")
+    text = F.concat(F.lit("=== Sheet: "), F.coalesce("title", F.lit("")), F.lit(" ==="), F.coalesce("grid", F.lit("")))
     body = _section(sheets, 0, "i", "part", text)
     return reduce(DataFrame.unionByName, [body, text_parts(items, "xlsx", "comment", 1, "=== Comments ===\n"), text_parts(items, "xlsx", "shape", 2, "=== Shapes ===\n")])
 
@@ -124,48 +106,9 @@ def ppt(items: DataFrame) -> DataFrame:
     return atoms.groupBy("doc_id").agg(joined("t", "\n", "i").alias("t")).select("doc_id", F.concat("t", F.lit("\n")).alias("text"))
 
 
-def workbook_items(items: DataFrame) -> DataFrame:
-    """(doc_id, i, j, kind, row, sheet, text): what a binary workbook shows, in record order.
-
-    Nesting is a running sum floored at zero; each top-level substream but the globals is the next sheet.
-    """
-    biff = _of(items, "xls", "biff").select("doc_id", "i", "j", "n", F.col("a").alias("kind"), F.col("b").alias("text"))
-    w = Window.partitionBy("doc_id").orderBy("i", "j").rowsBetween(Window.unboundedPreceding, 0)
-    step = F.when(F.col("kind") == "bof", 1).when(F.col("kind") == "eof", -1).otherwise(0)
-    walked = biff.withColumn("s", F.sum(step).over(w)).withColumn("depth", F.col("s") - F.least(F.lit(0), F.min("s").over(w)))
-    begins = (F.col("kind") == "bof") & (F.col("depth") == 1) & F.col("n").isin(2, 3)
-    walked = walked.withColumn("sheet", F.sum(F.when(begins, 1).otherwise(0)).over(w))
-    # A formula waits for the next string result, whatever stands between.
-    waiting = F.struct(F.last(F.when(F.col("kind") == "pending", F.struct("i", "n")), True).over(w).alias("p"), F.last(F.when(F.col("kind") == "result", F.col("i")), True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("r"))
-    walked = walked.withColumn("w", waiting)
-
-    names = biff.where("kind = 'name'").withColumn("sheet", F.row_number().over(Window.partitionBy("doc_id").orderBy("i"))).select("doc_id", F.col("sheet").alias("titled"), F.col("text").alias("title"))
-    strings = biff.where("kind = 'string'").withColumn("idx", (F.row_number().over(Window.partitionBy("doc_id").orderBy("i", "j")) - 1).cast("long")).select("doc_id", "idx", F.col("text").alias("value"))
-    # One pass: what is not shown goes, then titles and shared strings are looked up by keys that only their rows have.
-    titled, answered = begins & (F.col("n") == 2), (F.col("kind") == "result") & F.col("w.p").isNotNull() & (F.col("w.r").isNull() | (F.col("w.p.i") > F.col("w.r")))
-    shown = walked.where(titled | answered | F.col("kind").isin("cell", "shared", "aux", "heading"))
-    shown = shown.withColumn("titled", F.when(titled, F.col("sheet").cast("int"))).withColumn("idx", F.when(F.col("kind") == "shared", F.col("text").cast("long")))
-    found = shown.join(names, ["doc_id", "titled"], "left").join(strings, ["doc_id", "idx"], "left")
-    aside = F.col("kind").isin("aux", "heading")
-    text = (
-        F.when(F.col("kind") == "bof", F.concat(F.lit("=== Sheet: "), F.coalesce("title", F.lit("")), F.lit(" ===")))
-        .when(F.col("kind") == "shared", F.col("value"))
-        .when(aside, clean_aux(F.when(F.col("kind") == "heading", strip_heading_codes(F.col("text"))).otherwise(F.col("text"))))
-        .otherwise(F.col("text"))
-    )
-    row = F.when(F.col("kind") == "result", F.col("w.p.n")).when(F.col("kind").isin("cell", "shared"), F.col("n"))
-    kind = F.when(F.col("kind") == "bof", "sheet").when(aside, "aux").otherwise("cell")
-    return found.select("doc_id", "i", "j", kind.alias("kind"), row.alias("row"), "sheet", text.alias("text")).where((F.col("kind") == "sheet") | F.when(F.col("kind") == "aux", ~is_blank(F.col("text"))).otherwise(F.col("text") != ""))
-
-
 def xls(items: DataFrame) -> DataFrame:
-    w = Window.partitionBy("doc_id").orderBy("i", "j")
-    before = F.lag(F.struct("kind", "row", "sheet")).over(w)
-    lines = workbook_items(items).withColumn("p", before)
-    same = (F.col("kind") == "cell") & (F.col("p.kind") == "cell") & (F.col("row") == F.col("p.row")) & (F.col("sheet") == F.col("p.sheet"))
-    separator = F.when(F.col("p").isNull(), "").when(same, "\t").otherwise("\n")
-    text = lines.withColumn("t", F.concat(separator, "text")).groupBy("doc_id").agg(joined("t", "", "i", "j").alias("t"))
-    return text.select("doc_id", F.concat("t", F.when((F.col("t") == "") | F.col("t").endswith("\n"), "").otherwise("\n")).alias("text"))
+    """(doc_id, text): a binary workbook is walked where it is decoded."""
+    return _of(items, "xls", "book").select("doc_id", F.col("a").alias("text"))
 
 
 def legacy(items: DataFrame, formats: set[str]) -> DataFrame:

@@ -7,6 +7,7 @@ share, since all plans read them and executors may be lost.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -45,6 +46,20 @@ def container(content: Column) -> Column:
     return F.when(is_zip(content), "zip").when(is_compound(content), "cfb").otherwise("none")
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs inside hands files to Python a few at a time: a batch of 10,000 files would be held whole there."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": "128", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def _decode(id_type: pa.DataType | None, by_path: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from papertide.decode.items import decode
@@ -52,13 +67,15 @@ def _decode(id_type: pa.DataType | None, by_path: bool):
         for batch in batches:
             rows: list[tuple] = []
             owner: list[int] = []
+            size = 0
             for k, content in enumerate(batch.column(1)):
                 found = decode(content.as_py(), by_path)
                 rows += found
                 owner += [k] * len(found)
-                if len(rows) > 50_000:
+                size += sum(len(r[-2] or "") + len(r[-1] or "") for r in found)
+                if len(rows) > 20_000 or size > 2 << 20:
                     yield out(batch, owner, rows)
-                    rows, owner = [], []
+                    rows, owner, size = [], [], 0
             if rows:
                 yield out(batch, owner, rows)
 
@@ -124,4 +141,5 @@ def typed_rows(files: DataFrame, id_col: str = "doc_id", content_col: str = "con
 
 def decoded(files: DataFrame, id_col: str = "doc_id", content_col: str = "content", by_path: bool = False) -> DataFrame:
     """The rows of all kinds, laid out by kind, so that a plan reads only those that it needs."""
-    return written(typed_rows(files, id_col, content_col, by_path), "items", by="kind")
+    with small_batches(files.sparkSession):
+        return written(typed_rows(files, id_col, content_col, by_path), "items", by="kind")
