@@ -3,6 +3,7 @@
 import struct
 
 import pyarrow as pa
+import pytest
 
 from papertide.decode import items, sheets
 from papertide.decode.compound import CompoundFile
@@ -65,3 +66,23 @@ def test_lenient_and_strict_readers_of_a_sheet_are_not_slow():
         took.append((time.process_time() - began) / unit)
     assert len(found.cells) == 80_000 and found.headings == ["&C&P"]
     assert min(took) < 4.5  # 2.4 to 3.4 and, with a count of every open element at every event, 5.6 to 7.6
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_workbooks_need_no_window_and_no_join_with_what_is_not_there(spark):
+    from papertide.api import extract
+
+    files = spark.createDataFrame([(1, old.xls_bytes(["S"], [_label(0, "x")]))], "doc_id int, content binary")
+    plan = _plan(extract(files))
+    assert "Window" not in plan and plan.count("Join") == 1
+
+
+def test_text_parts_are_read_once(spark):
+    from papertide.api import extract
+
+    files = spark.createDataFrame([(1, new.docx_bytes("x", {"word/header1.xml": new.word_part("y")}))], "doc_id int, content binary")
+    found = extract(files)
+    assert _plan(found).count("Relation [") == 2 and found.first().text == "x\ny\n"
