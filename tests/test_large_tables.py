@@ -86,3 +86,13 @@ def test_text_parts_are_read_once(spark):
     files = spark.createDataFrame([(1, new.docx_bytes("x", {"word/header1.xml": new.word_part("y")}))], "doc_id int, content binary")
     found = extract(files)
     assert _plan(found).count("Relation [") == 2 and found.first().text == "x\ny\n"
+
+
+def test_batches_are_small_while_files_are_decoded_only(spark):
+    from papertide.sources.files import small_batches
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with small_batches(spark):
+        assert int(spark.conf.get(name)) <= 128
+    assert spark.conf.get(name) == before
