@@ -98,7 +98,7 @@ def test_batches_are_small_while_files_are_decoded_only(spark):
     assert spark.conf.get(name) == before
 
 
-@pytest.mark.parametrize("make", ["_compressed", "_every_text"])
+@pytest.mark.parametrize("make", ["_compressed", "_every_text", "_fields"])
 def test_decoded_files_leave_in_pieces(make):
     from papertide import queries
     from papertide.sources.files import _decode
