@@ -107,3 +107,12 @@ def test_decoded_files_leave_in_pieces(make):
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(files))), pa.array(files, pa.binary())], ["doc_id", "content"])
     found = list(_decode(None, False)(iter([batch])))
     assert max(b.nbytes for b in found) < 3 << 20 and {*found[0].column(0).to_pylist(), *found[-1].column(0).to_pylist()} >= {0, len(files) - 1}
+
+
+def test_formats_are_found_in_one_pass(spark):
+    from papertide.sources.files import formats
+
+    files = [(1, new.docx_bytes("x")), (2, new.pptx_bytes(["x"])), (3, old.doc_bytes([("x", True)])), (4, old.ppt_bytes([])), (5, b"PK\x03\x04 cut"), (6, None), (7, old.old_xls_bytes(["S"], []))]
+    found = formats(spark.createDataFrame(files, "doc_id int, content binary"))
+    assert "MapInArrow" not in _plan(found) and "Join" not in _plan(found)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "zip", "docx"), (2, "zip", "pptx"), (3, "cfb", "doc"), (4, "cfb", "ppt"), (7, "cfb", "xls")]
