@@ -103,7 +103,7 @@ def test_decoded_files_leave_in_pieces(make):
     from papertide import queries
     from papertide.sources.files import _decode
 
-    files = [getattr(queries, make)(k, "word " * 40_000) for k in range(1, 30, 2)]
+    files = [getattr(queries, make)(k, "word " * 40_000) for k in range(1, 60, 2)]
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(files))), pa.array(files, pa.binary())], ["doc_id", "content"])
     found = list(_decode(None, False)(iter([batch])))
     assert max(b.nbytes for b in found) < 3 << 20 and {*found[0].column(0).to_pylist(), *found[-1].column(0).to_pylist()} >= {0, len(files) - 1}
