@@ -1,11 +1,12 @@
 """What grows with the tables: rows behind the decoder, and what a Python worker holds at once."""
 
 import struct
+import sys
 
 import pyarrow as pa
 import pytest
 
-from papertide.decode import items, sheets
+from papertide.decode import items, macros, sheets
 from papertide.decode.compound import CompoundFile
 from papertide.fixtures import legacy as old
 from papertide.fixtures import packages as new
@@ -116,3 +117,28 @@ def test_formats_are_found_in_one_pass(spark):
     found = formats(spark.createDataFrame(files, "doc_id int, content binary"))
     assert "MapInArrow" not in _plan(found) and "Join" not in _plan(found)
     assert sorted(tuple(r) for r in found.collect()) == [(1, "zip", "docx"), (2, "zip", "pptx"), (3, "cfb", "doc"), (4, "cfb", "ppt"), (7, "cfb", "xls")]
+
+
+def _lines(f, *args) -> int:
+    """How many lines of Python a call runs."""
+    n, before = 0, sys.gettrace()
+
+    def trace(frame, event, arg):
+        nonlocal n
+        n += event == "line"
+        return trace
+
+    sys.settrace(trace)
+    try:
+        f(*args)
+    finally:
+        sys.settrace(before)
+    return n
+
+
+def test_macros_are_packed_and_read_in_runs():
+    source = b"x = 1\r\n" * 585
+    packed, out = old._chunk(source), bytearray()
+    assert macros._chunk(packed, out) and out == source
+    assert _lines(old._chunk, source) < 1_000  # 8,252 byte by byte
+    assert _lines(macros._chunk, b"\0abcdefgh" * 400, bytearray()) < 5_000  # 20,803 byte by byte
