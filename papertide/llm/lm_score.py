@@ -19,6 +19,7 @@ no rows; without training documents every word is unknown, priced alike.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -37,10 +38,14 @@ UNKNOWN, END = 0, 1
 CHUNK = 60_000
 #: Hashes of training words that are counted at once, about.
 COUNTED = 1 << 19
+#: First bits of the hashes by which counts are dealt.
+DEALT = 10
 #: Bytes of text that are scored together; a longer text stands alone.
 GROUP = 16_000_000
 #: Training tokens outside the vocabulary that a shard of the corpus counts looks up, about.
 SHARD = 1 << 20
+#: Streams that a training task takes one after the other, about; they come in one batch.
+SHARDS = 16
 _END_HASH = np.uint64(0x8000000000000001)
 
 
@@ -76,6 +81,49 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "c"])
 
 
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) -> (shard, words, counts): hashes of training words and their numbers, packed in a row for each run of equal first bits; a row a word would cost more than counting does."""
+    edges = np.arange(1, 1 << DEALT, dtype=np.uint64) << np.uint64(64 - DEALT)
+    for batch in _count(batches):
+        h, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+        cuts = [0, *np.searchsorted(h, edges).tolist(), len(h)]
+        rows = [(s, i, j) for s, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
+        yield pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in rows], pa.int32()), *(pa.array([x[i:j].tobytes() for _, i, j in rows], pa.binary()) for x in (h, n))], ["shard", "words", "counts"])
+
+
+def _commonest(most: int):
+    """Rows of _dealt sorted by shard -> (h, c, tokens, words, ends): the `most` commonest words of a task, ties by hash, and at last a row without h: all tokens, distinct words and ends, both with the end token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = words = ends = 0
+        top = np.zeros((2, 0), np.int64)
+
+        def close(h: np.ndarray, n: np.ndarray) -> None:
+            nonlocal tokens, words, ends, top
+            tokens, words, ends = tokens + int(n.sum()), words + len(h), ends + int(n[h == _END_HASH].sum())
+            top = np.concatenate([top, np.stack([h.view(np.int64), n])[:, h != _END_HASH]], axis=1)
+            top = top[:, np.lexsort((top[0], -top[1]))[:most]]
+
+        now, held, size = None, [], 0
+        for batch in batches:
+            for shard, *packed in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if held and shard != now:
+                    close(*_added(held))
+                    held, size = [], 0
+                now = shard
+                held.append(tuple(np.frombuffer(x.as_buffer(), kind) for x, kind in zip(packed, (np.uint64, np.int64), strict=True)))
+                size += len(held[-1][0])
+                if size > max(COUNTED, len(held[0][0])):  # a word that many batches have is held once
+                    held, size = [_added(held)], 0
+        if held:
+            close(*_added(held))
+            k, last = top.shape[1], pa.nulls(top.shape[1], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(top[0]), pa.array(top[1]), last, last, last] if k else [pa.array([], pa.int64())] * 5, ["h", "c", "tokens", "words", "ends"])
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (None, None, tokens, words, ends)], ["h", "c", "tokens", "words", "ends"])
+
+    return run
+
+
 class Vocabulary:
     """Ids of hashes: UNKNOWN, END, then words, commonest first."""
 
@@ -265,6 +313,8 @@ def _train(model: GatedModel, rate: float, pieces: int):
     small = np.uint16 if model.n_vocab <= 1 << 16 else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not gc.get_freeze_count():  # PySpark collects garbage after each task of a worker, 30 ms for what modules hold
+            gc.freeze()
         for batch in batches:
             for shard, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 stream = np.append(small(END), np.frombuffer(data.as_buffer(), small))
@@ -293,12 +343,17 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close()
 
 
-def trained(rows: DataFrame, words: Vocabulary, train_tokens: int, hidden: int, epochs: int, rounds: int = 4, shard_tokens: int = 1 << 18, pieces: int = 32) -> GatedModel:
+def training_tasks(shards: int, cores: int) -> int:
+    """A task in a Python worker has about 50 ms of its own: four a core are enough to share the work out, but none has more than about SHARDS streams."""
+    return min(shards, max(4 * cores, -(-shards // SHARDS)))
+
+
+def trained(rows: DataFrame, words: Vocabulary, train_tokens: int, hidden: int, epochs: int, rounds: int = 4, shard_tokens: int = 1 << 18, pieces: int = 8) -> GatedModel:
     """The model after `epochs` over all training documents of rows (doc_id, text)."""
     model = GatedModel(words.size, hidden)
     shards = max(1, -(-train_tokens // (rounds * shard_tokens)))
     streams = training_streams(rows, words, shards, rounds)
-    tasks = min(shards, 16 * rows.sparkSession.sparkContext.defaultParallelism)
+    tasks = training_tasks(shards, rows.sparkSession.sparkContext.defaultParallelism)
     for k in range(epochs * rounds):
         each = streams.where(F.col("round") == k % rounds).select("shard", "stream").repartition(tasks).mapInArrow(_train(model, 0.01 / (1 + k / rounds), pieces), "piece int, shard int, weight long, part binary")
         found = each.repartition(pieces, "piece").sortWithinPartitions("piece", "shard").mapInArrow(_average, "piece int, part binary").collect()
@@ -312,13 +367,12 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabul
     spark = df.sparkSession
     rows = own(df, doc_id=id_col, text=text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    counts = written(rows.mapInArrow(_count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    end_hash = int(_END_HASH.view(np.int64))
-    end = counts.where(F.col("h") == end_hash).select("c").first()
-    top = [(r.h, r.c) for r in counts.where(F.col("h") != end_hash).orderBy(F.desc("c"), "h").limit(vocabulary - 2).collect()]
-    words = Vocabulary(top, end.c if end else 0)
-    rest, rest_distinct = total - int(words.counts.sum()), distinct - len(top) - (1 if end else 0)
+    dealt = rows.mapInArrow(_dealt, "shard int, words binary, counts binary").repartition("shard").sortWithinPartitions("shard")
+    found = written(dealt.mapInArrow(_commonest(vocabulary - 2), "h long, c long, tokens long, words long, ends long"), "counts")
+    total, distinct, end = found.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "words", "ends"))).first()
+    top = [(r.h, r.c) for r in found.where("h is not null").orderBy(F.desc("c"), "h").limit(vocabulary - 2).collect()]
+    words = Vocabulary(top, end)
+    rest, rest_distinct = total - int(words.counts.sum()), distinct - len(top) - bool(end)
 
     model = trained(rows, words, total, hidden, epochs)
 

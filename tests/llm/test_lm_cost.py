@@ -67,3 +67,28 @@ def test_a_step_of_adam_in_blocks(monkeypatch):
         losses = model.train(ids, 2, rows=16)
         made.append((losses, model.flat()))
     assert np.allclose(made[0][0], made[1][0]) and np.allclose(made[0][1], made[1][1], atol=1e-6)
+
+
+def test_training_words_are_dealt_in_packed_rows(monkeypatch):
+    from collections import Counter
+
+    texts = [" ".join(f"w{(i * 7 + j * j) % 9_000}" for j in range(i % 400)) for i in range(200)]
+    half = [pa.RecordBatch.from_arrays([pa.array([*range(a, a + 100)]), pa.array(texts[a : a + 100])], ["id", "text"]) for a in (0, 100)]
+    words = Counter()
+    for batch in lm_score._count(half):
+        words.update({r["h"]: r["c"] for r in batch.to_pylist()})
+    end = words.pop(int(lm_score._END_HASH.view(np.int64)))
+    dealt = pa.Table.from_batches(lm_score._dealt(half)).sort_by("shard")
+    assert len(words) > 4 << lm_score.DEALT and len(dealt) <= 2 << lm_score.DEALT  # a row a shard and batch, not a word
+    for counted in (1 << 19, 3):
+        monkeypatch.setattr(lm_score, "COUNTED", counted)
+        for most in (10, 10**6):
+            *top, last = pa.Table.from_batches(lm_score._commonest(most)(dealt.to_batches(max_chunksize=100))).to_pylist()
+            assert [(r["h"], r["c"]) for r in top] == sorted(words.items(), key=lambda r: (-r[1], r[0]))[:most]
+            assert (last["h"], last["tokens"], last["words"], last["ends"]) == (None, sum(words.values()) + end, len(words) + 1, end)
+    assert list(lm_score._commonest(10)([])) == []
+
+
+def test_training_takes_few_tasks_of_bounded_size():
+    for shards, cores, tasks in ((1, 6, 1), (23, 6, 23), (110, 6, 24), (6_600, 6, 413), (6_600, 600, 2_400)):
+        assert lm_score.training_tasks(shards, cores) == tasks and shards / tasks <= max(lm_score.SHARDS, 110 / 24)
